@@ -105,27 +105,27 @@ def ml_predict(data: DataCube, model: MLModel, feature_dim=None) -> DataCube:
     if set(names) == set(model.feature_names) and names != model.feature_names:
         x = F.array(*[F.get(x, F.lit(names.index(n))) for n in model.feature_names])
     keys, value = data.schema.others(*dims), data.schema.value
-    whole = ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    rows = samples.select(*keys, x.alias("x")).withColumn("ok", whole)
+    whole = ~F.exists("__x", lambda v: v.isNull() | F.isnan(v))
+    rows = samples.select(*keys, x.alias("__x")).withColumn("__ok", whole)
     if isinstance(model.fitted, NetClassifier):
         net = rows.sparkSession.sparkContext.broadcast(model.fitted)
         kinds = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"`{value}` double"])
 
         def work(parts):
             for p in parts:
-                good = p[p["ok"]]
+                good = p[p["__ok"]]
                 out = pd.Series(np.nan, index=p.index)
                 if len(good):
-                    out[good.index] = np.asarray(net.value.predict(np.stack(good["x"].to_numpy())), dtype=float)
+                    out[good.index] = np.asarray(net.value.predict(np.stack(good["__x"].to_numpy())), dtype=float)
                 yield p[keys].assign(**{value: out})
 
         out = rows.mapInPandas(work, kinds).withColumn(value, F.when(~F.isnan(value), F.col(value)))
     else:
-        filled = F.when(F.col("ok"), F.col("x")).otherwise(F.array(*[F.lit(0.0)] * model.n_features))
+        filled = F.when(F.col("__ok"), F.col("__x")).otherwise(F.array(*[F.lit(0.0)] * model.n_features))
         done = model.fitted.transform(rows.withColumn("features", array_to_vector(filled)))
         p = F.col("prediction")
         if model.classes is not None:
             p = F.get(F.array(*[F.lit(c) for c in model.classes]), p.cast("int"))
-        out = done.select(*keys, F.when(F.col("ok"), p).alias(value))
+        out = done.select(*keys, F.when(F.col("__ok"), p).alias(value))
     schema = data.schema.without(*dims).with_dim(Dim("predictions", "other", ("0",)))
     return data.of(out.withColumn("predictions", F.lit("0")).select(*schema.names, value), schema)
