@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._shared import components, only_ids, ship, without_ids, written
 
 WORDS, SIMILARITY = 5, 0.8
-#: 20 bands of 4 coordinates: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99999998.
+#: 20 bands of 4 coordinates: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 BANDS, ROWS = 20, 4
 #: A pair is compared where at least this share of the coordinates agree: 5 deviations below 0.8 for 80 of them.
 ESTIMATE = 0.55
@@ -43,15 +43,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, end to end, and where each text's words end.
 
-    Words are split at white space (space, tab, line ends); A-Z is lower-cased first.
+    Words are split at white space (space, tab, line ends); letters of all scripts are lower-cased first.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
     offs = offs - offs[0]
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     before = np.concatenate(([True], blank[:-1]))
     edge = offs[1:-1]
