@@ -18,7 +18,7 @@ BANDS, ROWS = 20, 4
 #: A pair is compared where at least this share of the coordinates agree: 5 deviations below 0.8 for 80 of them.
 ESTIMATE = 0.55
 #: Bytes of text that are hashed at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
