@@ -7,6 +7,7 @@ cuts.  So the ids of a text are those of its words in turn; tests compare with t
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -42,21 +43,32 @@ class WordEncoder:
         # a normaliser that lower-cases goes with one that drops white space in the files this module knows
         self.lower = self.tok.normalizer is not None
         self.known: dict[str, bytes] = {}
+        self.join = " \x01 " if self.lower else "\n"
+        mark = self.tok.encode(f"a{self.join}a", add_special_tokens=False).ids[1:-1]
+        self.mark = mark[0] if len(mark) == 1 else None
+        pattern = re.compile(r"[^\s\x01]+" if self.lower else r" ?[^\s ]+(?:\n[^\s ]+)*")
+        self.fits = pattern.fullmatch if self.mark is not None else lambda w: None
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, w: str) -> list[str]:
-        """Pieces of a word that are encoded apart and of which most are known."""
-        if not self.lower and w.count("\n") == 1 and w[0] != "\n" and w[-1] != "\n" and w != " \n":
-            a, b = w.split("\n")
-            if a != " ":
-                return [*self._parts(a), "\n", *self._parts(b)]
-        if self.lower and w.isascii():
-            w = w.lower()
-        if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].isalpha():
-            return [w[:-1], w[-1]]
-        return [w]
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Many words in one call: they are joined by a mark that is a token by itself and in no word's ids.
+
+        The mark is a line end where words keep their space (a word with line ends inside has as many marks more),
+        else a control character between spaces.
+        """
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tok.encode_batch_fast([self.join.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            last = ends if self.lower else ends[np.cumsum([w.count("\n") + 1 for w in part]) - 1]
+            raw, at = ids.tobytes(), 0
+            for z in (last * 4).tolist():
+                out.append(raw[at:z])
+                at = z + 4
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         known = self.known
@@ -64,13 +76,10 @@ class WordEncoder:
             known.clear()
         new = [w for w in words if w not in known]
         if new:
-            parts = [self._parts(w) for w in new]
-            base = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
-            for i in range(0, len(base), 20_000):
-                known.update(zip(base[i : i + 20_000], self._plain(base[i : i + 20_000]), strict=True))
-            for w, ps in zip(new, parts, strict=True):
-                if len(ps) > 1 or ps[0] != w:
-                    known[w] = b"".join(known[p] for p in ps)
+            fits = self.fits
+            easy, hard = [w for w in new if fits(w)], [w for w in new if not fits(w)]
+            known.update(zip(easy, self._together(easy), strict=True))
+            known.update(zip(hard, self._plain(hard), strict=True))
         return [known[w] for w in words]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
