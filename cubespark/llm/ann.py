@@ -22,6 +22,8 @@ LIST_ROWS, QUERY_ROWS = 512, 4096
 COPIES, BOUNDARY = 3, 0.05
 #: Share of true neighbours in the sample whose list the ratio must reach.
 REACH = 0.97
+#: Numbers of a matrix that is in memory at a time, on the driver as in tasks.
+CELLS = 1 << 21
 #: Lists that are searched first, for a bound on the last neighbour's score.
 FIRST = 4
 
@@ -32,8 +34,7 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray, degree: int = 16):
         self.c = centroids
         k = len(centroids)
-        d = _distances(centroids, centroids)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, degree + 1)]
+        near = np.vstack([np.argsort(_distances(centroids[a:z], centroids), axis=1, kind="stable")[:, : min(k, degree + 1)] for a, z in _chunks(k, k)])
         links: list[set[int]] = [set(map(int, r)) - {i} for i, r in enumerate(near)]
         for i in range(k):  # both ways, and a ring, so that each centroid can be reached
             for j in list(links[i]):
@@ -49,6 +50,12 @@ class CentroidGraph:
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``most`` nearest centroids found for each row, nearest first, and their squared distances."""
+        found = [self._search(x[a:z], most) for a, z in _chunks(len(x), len(self.c))]
+        if not found:
+            return np.zeros((0, min(most, len(self.c))), np.int64), np.zeros((0, min(most, len(self.c))))
+        return np.vstack([f[0] for f in found]), np.vstack([f[1] for f in found])
+
+    def _search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(x), len(self.c)
         most = min(most, k)
         beam = min(k, max(most + most // 4, 32))
@@ -80,6 +87,12 @@ class CentroidGraph:
         return order, np.take_along_axis(dist, order, axis=1)
 
 
+def _chunks(rows: int, width: int) -> list[tuple[int, int]]:
+    """Ranges of rows whose matrix with so many columns has at most CELLS numbers."""
+    step = max(1, CELLS // max(1, width))
+    return [(a, min(rows, a + step)) for a in range(0, rows, step)]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
@@ -96,9 +109,10 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np
     c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
     size = np.full(k, len(x) / k)
     for _ in range(rounds):
-        d = _distances(x, c)
-        d += d.min(axis=1).mean() * 0.3 * (size * k / len(x) - 1)[None, :]
-        at = d.argmin(axis=1)
+        some = x[:: max(1, len(x) * k // CELLS)]
+        usual = _distances(some, c).min(axis=1).mean()
+        more = usual * 0.3 * (size * k / len(x) - 1)[None, :]
+        at = np.concatenate([(_distances(x[a:z], c) + more).argmin(axis=1) for a, z in _chunks(len(x), k)])
         size = np.bincount(at, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
@@ -133,12 +147,16 @@ def fit_ratio(graph: CentroidGraph, x: np.ndarray, raw: np.ndarray, k: int) -> f
     """The distance ratio to the nearest centroid within which REACH of the sample's true neighbours have a list."""
     lists = copies(graph, x)
     q = np.arange(0, len(x), max(1, len(x) // 400))
-    score = raw[q] @ raw.T
-    score[np.arange(len(q)), q] = -np.inf
-    near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, max(1, len(x) - 1))]
-    d = np.sqrt(_distances(lifted(raw[q], 0.0, query=True), graph.c))
-    least = np.where(lists[near] >= 0, d[np.arange(len(q))[:, None, None], np.maximum(lists[near], 0)], np.inf).min(axis=2)
-    ratio = least / np.maximum(d.min(axis=1), 1e-12)[:, None]
+    ratios = []
+    for a, z in _chunks(len(q), len(raw)):
+        own = q[a:z]
+        score = raw[own] @ raw.T
+        score[np.arange(len(own)), own] = -np.inf
+        near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, max(1, len(x) - 1))]
+        d = np.sqrt(_distances(lifted(raw[own], 0.0, query=True), graph.c))
+        least = np.where(lists[near] >= 0, d[np.arange(len(own))[:, None, None], np.maximum(lists[near], 0)], np.inf).min(axis=2)
+        ratios.append(least / np.maximum(d.min(axis=1), 1e-12)[:, None])
+    ratio = np.vstack(ratios)
     return float(np.quantile(ratio, REACH))
 
 
