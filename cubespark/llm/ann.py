@@ -191,10 +191,13 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     if not n:
         return empty
     part = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30))
-    some = x.where(part < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 30))).orderBy("id").limit(SAMPLE).toPandas()
-    if not len(some):
-        some = x.limit(1).toPandas()
-    raw = np.stack(some["v"].to_numpy()).astype(float)
+    # about 0.9 SAMPLE rows by a hash of the id, so over SAMPLE only where ids repeat; those are cut off
+    some = x.where(part < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 30))).toArrow()
+    if not some.num_rows:
+        some = x.limit(1).toArrow()
+    some = some.sort_by("id").slice(0, SAMPLE)
+    raw = _matrix(some.column("v")).astype(float)
+    del some
     norm2 = x.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()[0]
     up = lifted(raw, norm2)
     graph = CentroidGraph(fit_centroids(up, max(1, min(MOST_LISTS, len(up), math.isqrt(n) // 2))))
