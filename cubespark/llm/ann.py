@@ -50,7 +50,7 @@ class CentroidGraph:
 
     def search(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``most`` nearest centroids found for each row, nearest first, and their squared distances."""
-        found = [self._search(x[a:z], most) for a, z in _chunks(len(x), len(self.c))]
+        found = [self._search(x[a:z], most) for a, z in _chunks(len(x), max(self.links.shape[1] * self.c.shape[1], len(self.c)))]
         if not found:
             return np.zeros((0, min(most, len(self.c))), np.int64), np.zeros((0, min(most, len(self.c))))
         return np.vstack([f[0] for f in found]), np.vstack([f[1] for f in found])
