@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def con(data):
 
 def normal(pdf):
     cols = sorted(pdf.columns)
-    number = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    number = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     return cols, sorted(repr([number(v.item() if hasattr(v, "item") else v) for v in row]) for row in pdf[cols].astype(object).itertuples(index=False))
 
 
