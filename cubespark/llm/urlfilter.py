@@ -17,9 +17,11 @@ RULES = (
 )
 #: Hosts of links in HTML: of http, https or no scheme, in href or src.
 LINK = r"""(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-#: Rounds of propagation; what a longer walk adds is under DAMPING ** ROUNDS.
+#: Rounds of the SQL beside it, which stops there; ``propagate`` goes on until it settles.
 ROUNDS = 10
 DAMPING = 0.85
+#: What all rounds left undone could still move, at most, of each walk's mass of 1.
+TOLERANCE = 1e-7
 
 
 def url_host(url: Column) -> Column:
@@ -70,30 +72,40 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank of two kinds at once: (kind, host, score).
 
     seeds(kind, host, mass): kind 0 walks along the edges, kind 1 against them; masses sum to 1 by kind.  A round is
     one join and one sum; a host's outgoing edges are first counted, so its pages do not meet in one task.  Hosts
-    without outgoing edges pass nothing on.  Every five rounds go to the shared folder.
+    without outgoing edges pass nothing on.  Every five rounds go to the shared folder, and the last of them is held
+    against the one before: a round moves at most ``damping`` times what its predecessor moved, so all later rounds
+    together move at most damping / (1 - damping) of that.  It ends when this is within ``tolerance`` for both kinds
+    and the round reached no new host, so that every host with a path from a seed has a score.
     """
     steps = edges.select(F.lit(0).alias("kind"), "src", "dst", "w").union(edges.select(F.lit(1), "dst", "src", "w"))
     out = steps.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     steps = steps.join(out, ["kind", "src"]).select(F.col("kind").alias("of"), "src", "dst", (F.col("w") / F.col("all") * damping).alias("p"))
     steps = written(steps, "steps")
     seeds = written(seeds, "seeds")
-    base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"))
+    none = F.lit(None).cast("double").alias("last")
+    base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("score"), none)
     rank = seeds.select("kind", "host", F.col("mass").alias("score"))
-    for i in range(rounds):
-        moved = rank.join(steps, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src")))
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p")).alias("score"))
-        rank = moved.union(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 5 == 4:
-            rank = written(rank, "rank")
-    return rank
-
-
-def host_verdicts(judged: DataFrame, html_col: str = "html", threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+    while True:
+        for i in range(5):
+            moved = rank.join(steps, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src")))
+            moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p")).alias("score"), none)
+            parts = moved.union(base)
+            if i == 4:
+                parts = parts.union(rank.select("kind", "host", F.lit(0.0), F.col("score")))
+            rank = parts.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("last").alias("last"))
+        both = written(rank, "rank")
+        rank = both.drop("last")
+        by_kind = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0)))).alias("moved"), F.count_if(F.col("last").isNull()).alias("new")).collect()
+        if all(r.new == 0 and r.moved * damping / (1 - damping) <= tolerance for r in by_kind):
+            return rank
+
+
+def host_verdicts(judged: DataFrame, html_col: str = "html", threshold: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust, verdict) of each host that either walk reaches.
 
     Seeds: a host's share of all pages that a rule allows (trust) or blocks (distrust).  A host is blocked where
@@ -104,7 +116,7 @@ def host_verdicts(judged: DataFrame, html_col: str = "html", threshold: float =
     totals = own.groupBy("ruled").agg(F.sum("n").alias("all"))
     seeds = own.join(F.broadcast(totals), "ruled")  # two rows: allow and block
     seeds = seeds.select(F.when(F.col("ruled") == "allow", 0).otherwise(1).alias("kind"), "host", (F.col("n") / F.col("all")).alias("mass"))
-    rank = propagate(host_edges(judged, html_col), seeds, rounds)
+    rank = propagate(host_edges(judged, html_col), seeds, tolerance)
     both = rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"),
@@ -113,7 +125,7 @@ def host_verdicts(judged: DataFrame, html_col: str = "html", threshold: float =
     return written(both.withColumn("verdict", F.when(part > threshold, "block").otherwise("allow")), "verdicts")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each page: id, host, path, rule, verdict.
 
     The longest rule that fits decides; else the host's verdict by propagation; a host that no walk reaches, and a
@@ -121,6 +133,6 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     """
     kept = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     judged = judged_by_rules(kept, rules)
-    hosts = host_verdicts(judged, "html", threshold, rounds).select(F.col("host").alias("v_host"), F.col("verdict").alias("v"))
+    hosts = host_verdicts(judged, "html", threshold, tolerance).select(F.col("host").alias("v_host"), F.col("verdict").alias("v"))
     out = judged_by_rules(kept.drop("html"), rules).join(hosts, F.col("host") == F.col("v_host"), "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "v", F.lit("allow")).alias("verdict"))

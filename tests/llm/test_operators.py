@@ -328,6 +328,31 @@ def test_urls(spark, empty):
     assert urlfilter.filter_urls(df.where("false")).count() == 0
 
 
+def test_urls_settle(spark):
+    """Scores against a linear solve: a chain longer than any fixed number of rounds, a ring of both kinds of seeds, and none."""
+    names = [f"h{i}" for i in range(20)] + [f"r{i}" for i in range(9)] + ["far"]
+    at = {h: i for i, h in enumerate(names)}
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(19)] + [(f"r{i}", f"r{(i + 1) % 9}", 2.0) for i in range(9)] + [("r3", "r7", 1.0)]
+    seeds = [(1, "h19", 0.5), (1, "r1", 0.5), (0, "r5", 1.0)]
+    got = urlfilter.propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame(seeds, "kind int, host string, mass double")).collect()
+    w = np.zeros((len(names), len(names)))
+    for a, b, x in edges:
+        w[at[a], at[b]] += x
+    want = {}
+    for kind, m in ((0, w), (1, w.T)):
+        p = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300) * urlfilter.DAMPING
+        mass = np.zeros(len(names))
+        for k, h, x in seeds:
+            mass[at[h]] += x * (k == kind)
+        score = np.linalg.solve(np.eye(len(names)) - p.T, mass * (1 - urlfilter.DAMPING))
+        want |= {(kind, h): s for h, s in zip(names, score, strict=True) if s > 1e-15}
+    assert {(r.kind, r.host) for r in got} == set(want) and (1, "h0") in want
+    assert all(r.score == pytest.approx(want[r.kind, r.host], abs=1e-7) for r in got)
+    pages = [(i, f"http://h{i}.net/a", f'<a href="http://h{i + 1}.net/">') for i in range(12)] + [(12, "http://h12.net/de/1", "")]
+    rules = (("block", "net", "/de/"),)
+    assert {r.verdict for r in urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()} == {"block"}
+
+
 def check_packing(pieces, size):
     bins = defaultdict(list)
     for p in pieces:
