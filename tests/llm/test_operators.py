@@ -138,6 +138,22 @@ def test_shards(hard, empty):
     assert {r.law for r in got} == {"bytes"} and sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("groups,whole", [([0.31, 0.9], 2), ([0.6] * 6, 2)])
+def test_shards_keep_groups(spark, groups, whole):
+    """Groups under a shard stay whole and shards even; only groups that no placing balances are cut."""
+    texts = [(0.05 * 20_000 - 16, share) for share in groups]
+    rows = [f"{g} ".ljust(int(n), "x") for g, (n, share) in enumerate(texts) for _ in range(round(share / 0.05))]
+    rows += [f"small {i} ".ljust(184, "y") for i in range((80_000 - 1000 * len(rows)) // 200)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 4).collect()
+    at, loads = defaultdict(set), Counter()
+    for r in got:
+        loads[r.shard] += r.size
+        if r.size == 1000:
+            at[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and len(at) == len(groups) and max(loads.values()) <= 1.05 * 20_000
+    assert sum(len(s) == 1 for s in at.values()) >= whole
+
+
 def test_placing():
     rng = np.random.default_rng(0)
     x = rng.lognormal(3, 1, (3000, 1)) * np.array([[5.0, 1.0, 0.01]]) * rng.uniform(0.8, 1.2, (3000, 3))
