@@ -63,11 +63,30 @@ def _kinds(feature_properties: list[dict]) -> dict[str, str]:
     return {k: "string" if v == "void" else v for k, v in out.items()}
 
 
+def _kinds_of_rows(features: DataFrame) -> dict[str, str]:
+    """``_kinds`` over all rows of ``FEATURE``; the driver gets a row for each name, in order of first occurrence."""
+    values = features.select(F.monotonically_increasing_id().alias("row"), F.from_json("properties", "map<string,variant>").alias("m"))
+    values = values.select("row", F.posexplode("m").alias("pos", "name", "value"))
+    of = F.schema_of_variant("value")
+    kind = (
+        F.when(F.col("value").isNull() | (of == "VOID"), F.lit(None).cast("string"))
+        .when(of == "BOOLEAN", "boolean")
+        .when(of == "BIGINT", "bigint")
+        .when((of == "DOUBLE") | of.startswith("DECIMAL"), "double")
+        .otherwise("string")
+    )
+    found = values.groupBy("name").agg(F.collect_set(kind).alias("kinds"), F.min(F.struct("row", "pos")).alias("first"))
+    out = {}
+    for r in found.orderBy("first").collect():
+        out[r["name"]] = r.kinds[0] if len(r.kinds) == 1 else "double" if set(r.kinds) == {"bigint", "double"} else "string"
+    return out
+
+
 def load_geojson(spark: SparkSession, source, *, crs=None, properties: dict[str, str] | None = None, adapter: GeoJsonLoader | None = None) -> DataCube:
     """A vector cube from a dict or a path that Spark reads.
 
     Without ``crs`` it is EPSG:4326; with it the coordinates are taken as they are.  ``properties`` names columns and
-    types; else they are taken from the features (for a path: of the first 1000).
+    types; else they are taken from all features.
     """
     if adapter is not None:
         return adapter.load_geojson(spark, source, crs=crs)
@@ -80,7 +99,7 @@ def load_geojson(spark: SparkSession, source, *, crs=None, properties: dict[str,
         raw = spark.read.schema(f"type string, features array<{FEATURE}>, geometry struct<type:string,coordinates:string>, properties string").option("multiLine", True).json(str(source))
         one = F.array(F.struct("type", "geometry", "properties"))
         df = raw.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(one)).alias("f")).select("f.*")
-        kinds = properties or _kinds([json.loads(r[0]) for r in df.where("properties is not null").select("properties").limit(1000).collect()])
+        kinds = properties or _kinds_of_rows(df)
     out = from_features(df, kinds)
     return DataCube(out, CubeSchema((Dim("geometry", "geometry"),), crs=normal(crs if crs is not None else 4326), kind="vector", geometry=("geometry",)))
 

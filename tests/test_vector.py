@@ -135,3 +135,21 @@ def test_registry():
 def test_hull():
     assert len(G.hull([(0, 0), (1, 0), (1, 1), (0, 1), (0.5, 0.5)])) == 5
     assert G.is_convex([(0, 0), (1, 0), (1, 1)]) and not G.is_convex([(0, 0), (2, 0), (1, 0.2), (1, 2)])
+
+
+def test_geojson_path_reads_all_features(spark, tmp_path):
+    """A path gives the columns, types and rows that the same features give as a dict, wherever a property first occurs."""
+    import json
+
+    from cubespark.sources.geojson import load_geojson
+
+    props = [{"b": i, "n": i, "t": True, "none": None, "w": 1.0, "mix": i, "o": {"k": 1}} for i in range(1500)]
+    props[1200]["n"] = 2.5
+    props[1400] |= {"late": "x", "mix": "y"}
+    features = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1]}, "properties": p} for i, p in enumerate(props)]
+    source = {"type": "FeatureCollection", "features": features}
+    (tmp_path / "f.geojson").write_text(json.dumps(source))
+    got, want = load_geojson(spark, str(tmp_path / "f.geojson")).df, load_geojson(spark, source).df
+    assert got.dtypes == want.dtypes and dict(got.dtypes)["n"] == "double" and "late" in got.columns
+    rows = lambda df: sorted(map(str, df.drop("o").collect()))  # noqa: E731  (o: the reader's text has other spaces)
+    assert rows(got) == rows(want) and got.where("n is null").count() == 0
