@@ -40,12 +40,16 @@ def _table() -> np.ndarray:
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, ends, letters): the hashed n-grams of all texts, where each text's end, and how many letters it has.
 
-    Texts are lower-cased; runs of what is not a letter are one space; letters beyond the basic plane count as they are.
+    Texts are lower-cased; runs of what is not a letter are one space, in the basic plane and beyond.
     """
     joined = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     ends = np.cumsum([len(x) for x in joined]) if joined else np.zeros(0, np.int64)
     c = np.concatenate(joined) if joined else np.zeros(0, np.uint32)
-    c = np.where(c < 1 << 16, _table()[np.minimum(c, (1 << 16) - 1)], c)
+    high = c >= 1 << 16
+    c = np.where(high, c, _table()[np.minimum(c, (1 << 16) - 1)])
+    if high.any():
+        points, which = np.unique(c[high], return_inverse=True)
+        c[high] = np.array([p if chr(p).isalpha() else 32 for p in points.tolist()], np.uint32)[which]
     blank = c == 32
     keep = np.ones(len(c), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])

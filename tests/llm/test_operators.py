@@ -322,6 +322,16 @@ def test_language(spark, hard, empty):
     assert kept.columns == df.columns and kept.count() == 401
 
 
+def test_letters_beyond_the_basic_plane():
+    emoji, gothic = "\U0001f600\U0001f680 \U0001f600", "\U00010330\U00010331"
+    _, _, letters = langid.ngrams([emoji, gothic, f"ab{emoji}", "\U0001d7d9"])
+    assert letters.tolist() == [0, 2, 2, 0]
+    mixed, plain = langid.ngrams([f"ab {emoji} cd"])[0], langid.ngrams(["ab cd"])[0]
+    assert (mixed == plain).all()
+    m = langid.Model(["en"], np.ones(langid.FEATURES), np.ones((langid.FEATURES, 1)), np.zeros(1))
+    assert m.predict([emoji, gothic])[0] == [langid.UNKNOWN, "en"] and m.predict([emoji])[1][0] == 0
+
+
 def test_urls(spark, empty):
     links = '<a href="http://bad.example.com/x">a</a> <img src=//Bad.example.com/i>'
     rows = [
