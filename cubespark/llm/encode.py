@@ -52,8 +52,13 @@ class WordEncoder:
             a, b = w.split("\n")
             if a != " ":
                 return [*self._parts(a), "\n", *self._parts(b)]
-        if self.lower and w.isascii():
-            w = w.lower()
+        if self.lower:
+            if "<|" in w:  # special tokens are spelt in lower case only
+                return [w]
+            if w.isascii():
+                w = w.lower()
+            elif not w[-2:-1].lower().isalpha():  # a letter whose lower case is a letter and a mark, which joins what follows
+                return [w]
         if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].isalpha():
             return [w[:-1], w[-1]]
         return [w]
