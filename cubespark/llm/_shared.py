@@ -23,9 +23,15 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder of this machine, but only if executors run here as well.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file:{tempfile.gettempdir()}/cubespark-{getpass.getuser()}"
     path = f"{base.rstrip('/')}/cubespark/{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -73,18 +79,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fitting(table: DataFrame) -> DataFrame:
+    """``table`` (written) with the hint that its counted rows allow: to broadcast it, or else to sort and merge."""
+    return table.hint("broadcast" if table.count() <= BROADCAST_KEYS else "merge")
+
+
 def without_ids(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
     """``docs`` less the ids in ``drop`` (a written table): a broadcast where its counted size allows, else a shuffle."""
     drop = drop.select(F.col(id_col).alias("__cs_id"))
-    hint = "broadcast" if drop.count() <= BROADCAST_KEYS else "merge"
-    return docs.join(drop.hint(hint), docs[id_col] == drop["__cs_id"], "left_anti")
+    return docs.join(fitting(drop), docs[id_col] == drop["__cs_id"], "left_anti")
 
 
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` with the ids in ``ids`` (a written table), in the same two ways."""
     ids = ids.select(F.col(id_col).alias("__cs_id"))
-    hint = "broadcast" if ids.count() <= BROADCAST_KEYS else "merge"
-    return docs.join(ids.hint(hint), docs[id_col] == ids["__cs_id"], "left_semi")
+    return docs.join(fitting(ids), docs[id_col] == ids["__cs_id"], "left_semi")
 
 
 def slots(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:

@@ -98,43 +98,34 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
-def _url_sql(rounds: int = urlfilter.ROUNDS) -> str:
-    d = urlfilter.DAMPING
-    rules = sorted(urlfilter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
-    fits = [(f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for v, h, p in rules]
-    rule = " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits)
-    ruled = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
-    link = urlfilter.LINK.replace("'", "''")
-    steps = ",\n".join(
-        f"""r{i + 1} AS (SELECT kind, host, sum(score) AS score FROM (
-          SELECT s.kind, s.dst AS host, r.score * s.p AS score FROM r{i} r JOIN steps s ON r.kind = s.kind AND r.host = s.src
-          UNION ALL SELECT kind, host, mass * (1 - {d}::DOUBLE) FROM seeds) GROUP BY kind, host)"""
-        for i in range(rounds)
-    )
-    return f"""
+URL_SQL = f"""
 WITH RECURSIVE parts AS (SELECT page_id, html,
     CASE WHEN position('://' IN url) > 0 THEN translate(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
     CASE WHEN position('://' IN url) > 0 THEN regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
-judged AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM parts),
+-- the longest first
+rules(verdict, h, p, n) AS (VALUES ('block', 'example.org', '/en/1', 5), ('block', 'example.org', '/es/', 4), ('allow', 'com', '/fr/', 3), ('block', 'com', '/de/', 2), ('allow', 'org', '/', 1)),
+judged AS (SELECT page_id, html, host, path, (SELECT arg_max(h || p, n) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+                  (SELECT arg_max(verdict, n) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS ruled FROM parts),
 hosts AS (SELECT DISTINCT host FROM judged WHERE host <> ''),
 climb AS (SELECT host AS src, CASE WHEN len(string_split(host, '.')) > 2 THEN substr(host, position('.' IN host) + 1) END AS dst FROM hosts
           UNION SELECT dst, CASE WHEN len(string_split(dst, '.')) > 2 THEN substr(dst, position('.' IN dst) + 1) END FROM climb WHERE dst IS NOT NULL),
 up AS (SELECT DISTINCT src, dst FROM climb WHERE dst IS NOT NULL),
-found AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM judged WHERE host <> ''),
+found AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{urlfilter.LINK.replace("'", "''")}', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM judged WHERE host <> ''),
 edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM found WHERE src <> dst GROUP BY src, dst
           UNION ALL SELECT src, dst, 1.0::DOUBLE FROM up UNION ALL SELECT dst, src, 1.0::DOUBLE FROM up) GROUP BY src, dst),
 both_ AS (SELECT 0 AS kind, src, dst, w FROM edges UNION ALL SELECT 1, dst, src, w FROM edges),
-steps AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) * {d}::DOUBLE AS p FROM both_),
+steps AS (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) * 0.85::DOUBLE AS p FROM both_),
 own AS (SELECT host, ruled, count(*) AS n FROM judged WHERE ruled IS NOT NULL AND host <> '' GROUP BY host, ruled),
 seeds AS (SELECT CASE WHEN ruled = 'allow' THEN 0 ELSE 1 END AS kind, host, n / CAST(sum(n) OVER (PARTITION BY ruled) AS DOUBLE) AS mass FROM own),
-r0 AS (SELECT kind, host, mass AS score FROM seeds),
-{steps},
-scores AS (SELECT host, sum(CASE WHEN kind = 0 THEN score ELSE 0 END) AS good, sum(CASE WHEN kind = 1 THEN score ELSE 0 END) AS bad FROM r{rounds} GROUP BY host)
+-- the share of each walk that is still under way after each step; a score is 0.15 times the sum of all
+walk AS (SELECT 0 AS step, kind, host, mass FROM seeds
+         UNION ALL SELECT w.step + 1, s.kind, s.dst, sum(w.mass * s.p) FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.src WHERE w.step < 200 GROUP BY w.step + 1, s.kind, s.dst),
+scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 0), 0) AS good, coalesce(sum(mass) FILTER (kind = 1), 0) AS bad FROM walk GROUP BY host)
 SELECT j.page_id, j.host, j.path, j.rule,
-       coalesce(j.ruled, CASE WHEN round(s.bad / (s.good + s.bad), 9) > 0.5 THEN 'block' WHEN s.host IS NOT NULL THEN 'allow' END, 'allow') AS verdict
+       coalesce(j.ruled, CASE WHEN round(s.bad / (s.good + s.bad), 6) > 0.5 THEN 'block' WHEN s.host IS NOT NULL THEN 'allow' END, 'allow') AS verdict
 FROM judged j LEFT JOIN scores s ON j.host = s.host
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL, "op9_url_verdicts": _url_sql()}
+    return {"op1_mix_sources": MIX_SQL, "op4_exact_dedup": EXACT_SQL, "op9_url_verdicts": URL_SQL}
