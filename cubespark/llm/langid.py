@@ -20,6 +20,8 @@ FIT_DOCS = 1500
 #: Scale of term frequencies (a feature's share of a text's n-grams).
 SCALE = 100.0
 UNKNOWN = "und"
+#: A text is kept where its language is likelier than all others together.
+LEAST = 0.5
 #: Characters that are scored at a time; a longer text is scored alone.
 SLICE = 1 << 20
 
@@ -120,9 +122,13 @@ class Model:
 
 
 def _log_loss(z: np.ndarray, y: np.ndarray, t: float) -> float:
+    """Of targets that leave each other language the share of one row in all and two more, so that a temperature
+    settles where every row is told right."""
     z = z / t
     top = z.max(axis=1, keepdims=True)
-    return float(-(z - top - np.log(np.exp(z - top).sum(axis=1, keepdims=True)))[np.arange(len(y)), y].mean())
+    loss = -(z - top - np.log(np.exp(z - top).sum(axis=1, keepdims=True)))
+    rest = 1.0 / (len(y) + 2)
+    return float(((1 - rest) * loss[np.arange(len(y)), y] + rest * loss.mean(axis=1)).mean())
 
 
 def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], idf: np.ndarray, *, alpha=0.5, beta=1.0, l1=0.002, l2=0.02, passes=4, seed=3) -> Model:
@@ -258,8 +264,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows, model).drop("text").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """``docs`` less the rows rejected: UNKNOWN, or a score under ``least``; all columns untouched."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """``docs`` less the rows rejected: null texts, those without a letter, and scores under ``least``.
+
+    All columns stay untouched, repeated rows and null ids are judged like others, and an empty table stays empty.
+    Where nothing could be learned, for want of a language in any row, only texts without a letter go.
+    """
     model = train(docs.where(~held_out(id_col)), text_col, lang_col, id_col)
+    if not model.languages:
+        return docs.where(F.regexp_like(text_col, F.lit(r"\p{L}")))
     judged = predict(docs, model, text_col, "__cs_lang", "__cs_score")
     return judged.where((F.col("__cs_lang") != UNKNOWN) & (F.col("__cs_score") >= least)).select(*docs.columns)
