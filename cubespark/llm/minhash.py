@@ -10,15 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, only_ids, ship, without_ids, written
+from ._shared import components, fitting, only_ids, ship, without_ids, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4 coordinates: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 BANDS, ROWS = 20, 4
-#: A pair is compared where at least this share of the coordinates agree: 5 deviations below 0.8 for 80 of them.
-ESTIMATE = 0.55
 #: Bytes of text that are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Classes of set sizes to a factor of e.
+CLASSES = 50
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -58,9 +58,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.concatenate((blank[1:], [True]))
     after[edge[(edge > 0)] - 1] = True
     start, end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
-    up, down = _power(len(raw))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-    h = (total[end] - total[start]) * down[start]
+    h, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):  # about SLICE bytes at a time, cut between words, however long the text
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, side="right")))
+        part, low, high = raw[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
+        up, down = _power(len(part))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)))
+        h[i:j] = (total[high] - total[low]) * down[low]
+        i = j
     h = _mix(h + (end - start).astype(np.uint64) * np.uint64(_BASE))
     return h, np.searchsorted(start, offs[1:], side="left")
 
@@ -157,8 +162,8 @@ def _slices(texts: pa.Array):
         i = j
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, weighted: bool = False) -> DataFrame:
-    """(id, same, same2, n, bands, sketch), written: a hash of the whole shingle set, and what finds its likes.
+def signatures(docs: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
+    """(id, same, same2, n, bands), written: a hash of the shingle set, its size, and what finds its likes.
 
     Texts without a word have n = 0 and no bands.  ``weighted``: a shingle weighs as often as it occurs, else 1.
     """
@@ -168,116 +173,155 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weighted: bool = Fal
         for b in batches:
             for i, texts in _slices(b.column("text")):
                 s, counts, ends = shingles(texts)
+                if not weighted:
+                    counts = np.ones_like(counts)
                 starts = np.concatenate(([0], ends[:-1]))
-                w = counts.astype(float) if weighted else np.ones(len(s))
-                sig = dart_minhash(s, w, ends, BANDS * ROWS)
-                own = s * np.uint64(3) + counts.astype(np.uint64) if weighted else s
+                sig = dart_minhash(s, counts.astype(float), ends, BANDS * ROWS)
+                own = s * np.uint64(3) + counts.astype(np.uint64)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(own + np.uint64(c)), dtype=np.uint64))) for c in (1, 2)]
                 same = [(x[ends] - x[starts]).view(np.int64) for x in sums]
                 keys = np.zeros((len(ends), BANDS), np.uint64)
                 for r in range(ROWS):
                     keys = _mix(keys * np.uint64(5) + sig.reshape(len(ends), BANDS, ROWS)[:, :, r] + np.arange(BANDS, dtype=np.uint64))
-                n = ends - starts
+                total = np.concatenate(([0], np.cumsum(counts)))
+                n = total[ends] - total[starts]
                 flat = keys[n > 0].view(np.int64).reshape(-1)
                 off = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
-                sketch = [x.tobytes() for x in (sig & np.uint64(255)).astype(np.uint8)]
                 yield pa.record_batch(
-                    {"id": b.column("id").slice(i, len(texts)), "same": pa.array(same[0]), "same2": pa.array(same[1]), "n": pa.array(n), "bands": pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), "sketch": pa.array(sketch, pa.binary())}
+                    {"id": b.column("id").slice(i, len(texts)), "same": pa.array(same[0]), "same2": pa.array(same[1]), "n": pa.array(n), "bands": pa.ListArray.from_arrays(pa.array(off), pa.array(flat))}
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return written(rows.mapInArrow(work, "id long, same long, same2 long, n long, bands array<long>, sketch binary"), "signatures")
+    return written(rows.mapInArrow(work, "id long, same long, same2 long, n long, bands array<long>"), "signatures")
+
 
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
+    """(id, n, s) of the documents in ``ids(id)`` (written): the hashes of a text's shingles, written.
 
-def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` (written) whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    ids = written(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().withColumnRenamed("x", id_col), "asked")
-    texts = only_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids.withColumnRenamed(id_col, "id"), "id")
-    texts = written(texts.dropDuplicates(["id"]), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    ``weighted``: the second and later occurrence of a shingle have hashes of their own, so that similarities of these
+    sets are the weighted ones.  An id that comes with several texts has a row for each.
+    """
     ship(docs.sparkSession)
 
     def work(batches):
         for b in batches:
-            for i, ta in _slices(b.column("ta")):
-                tb = b.column("tb").slice(i, len(ta))
-                hs, cs, ends = shingles(pa.concat_arrays([ta.cast(pa.large_string()), tb.cast(pa.large_string())]))
-                starts = np.concatenate(([0], ends[:-1]))
-                sim = np.zeros(len(ta))
-                for j in range(len(ta)):
-                    x, y = slice(starts[j], ends[j]), slice(starts[j + len(ta)], ends[j + len(ta)])
-                    _, p, q = np.intersect1d(hs[x], hs[y], assume_unique=True, return_indices=True)
-                    if weighted:
-                        both = np.minimum(cs[x][p], cs[y][q]).sum()
-                        sim[j] = both / max(1, cs[x].sum() + cs[y].sum() - both)
-                    else:
-                        sim[j] = len(p) / max(1, len(hs[x]) + len(hs[y]) - len(p))
-                keep = pa.array(sim >= least - 1e-12)
-                yield pa.record_batch({"a": b.column("a").slice(i, len(ta)).filter(keep), "b": b.column("b").slice(i, len(ta)).filter(keep)})
-
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"), "links")
-
-
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of which enough coordinates agree, in their last bytes."""
-    x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    need = math.floor(ESTIMATE * BANDS * ROWS)
+            for i, texts in _slices(b.column("text")):
+                s, counts, ends = shingles(texts)
+                total = np.concatenate(([0], np.cumsum(counts)))
+                if weighted:
+                    s, ends = np.repeat(s, counts), total[ends]
+                    nth = np.arange(len(s)) - np.repeat(total[:-1], counts)
+                    s = np.where(nth > 0, _mix(s + nth.astype(np.uint64) * np.uint64(_BASE)), s)
+                off = np.concatenate(([0], ends)).astype(np.int32)
+                yield pa.record_batch({"id": b.column("id").slice(i, len(texts)), "n": pa.array(np.diff(off).astype(np.int64)), "s": pa.ListArray.from_arrays(pa.array(off), pa.array(s.view(np.int64)))})
+
+    texts = only_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
+    sets = written(texts.mapInArrow(work, "id long, n long, s array<long>"), "sets")
+    named = sets.select("id").groupBy("id").count().where("count > 1")
+    return sets if named.isEmpty() else written(sets.distinct(), "sets")
 
-    def work(batches):
-        for b in batches:
-            n = b.num_rows
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sa", "sb"))
-            keep = pa.array((x == y).sum(axis=1) >= need) if n else pa.array([], pa.bool_())
-            yield pa.record_batch({"a": b.column("a").filter(keep), "b": b.column("b").filter(keep)})
 
-    return x.mapInArrow(work, "a long, b long")
+def _overlap(least: float, a, b):
+    """The least number of shingles in common by which sets of ``a`` and ``b`` can have a similarity of ``least``."""
+    return F.ceil((a + b) * (least / (1 + least)) - 1e-9)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False, least: float = SIMILARITY) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``pairs(a, b, ...)`` of which the ``sets`` have a Jaccard similarity of ``least`` or more, written."""
+    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    x = x.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+    alike = F.size(F.array_intersect("sa", "sb")) >= _overlap(least, F.col("na"), F.col("nb"))
+    return written(x.where("na > 0 and nb > 0").where(alike).select(*pairs.columns).distinct(), "links")
+
+
+def _sparse_pairs(torn: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb): all pairs of ``torn(id, root, n, set, s)`` (written, set a hash of s) of two roots that can reach ``least``; others too.
+
+    Prefix filtering: with all shingles in one order, the rarest first, two sets with an overlap of o have a shingle in
+    common among the first n - o + 1 of either, and at the first of these both have o left.  The overlap that a pair
+    needs depends on both sizes, so a set shows the prefix that each class of sizes asks for, under a key of the
+    shingle and the two classes.  Common text is thus never a key, unless sets have little else, and then they are
+    near copies of each other; keys of one root are left out before any pair is made.
+    """
+    size_class = lambda n: F.floor(F.log(n) * CLASSES + 1e-9)
+    each = torn.select("id", "root", "n", "set", F.explode("s").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumnRenamed("t", "t2")
+    shared = each.join(often, F.col("t") == F.col("t2")).groupBy("id", "root", "n", "set").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("t"))
+    # sizes that differ by 2 % make a class, so these are at most some 1,100 rows
+    lows = torn.groupBy(size_class(F.col("n")).alias("c")).agg(F.min("n").alias("low"))
+    near = F.explode(F.sequence(size_class(F.ceil(F.col("n") * least - 1e-9)), size_class(F.floor(F.col("n") / least + 1e-9))))
+    shown = shared.withColumn("own", size_class(F.col("n"))).withColumn("c", near).join(F.broadcast(lows), "c")
+    need = _overlap(least, F.col("n"), F.greatest("low", F.ceil(F.col("n") * least - 1e-9)))
+    shown = shown.withColumn("alone", F.col("n") - F.size("t")).withColumn("show", (F.col("n") - need + 1 - F.col("alone")).cast("int")).where("show > 0")
+    shown = shown.select("id", "root", "n", "own", "c", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("show"))).alias("at", "x"))
+    keys = F.xxhash64("x.t", F.least("own", "c"), F.greatest("own", "c")).alias("key")
+    shown = written(shown.select(keys, "id", "root", "n", "own", "c", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+
+    mixed = shown.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+    mixed = fitting(written(mixed, "mixed"))
+    met = written(shown.join(mixed, F.col("key") == F.col("k")).drop("k"), "met")
+    top = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
+    top = fitting(written(top.select(F.col("key").alias("k"), F.col("top.root").alias("main")), "main"))
+    few = met.join(top, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select(*[F.col(c).alias(f"{c}_x") for c in met.columns])
+    can = F.least("left", "left_x") >= _overlap(least, F.col("n"), F.col("n_x"))
+    facing = (F.col("key") == F.col("key_x")) & (F.col("own") == F.col("c_x")) & (F.col("c") == F.col("own_x"))
+    cross = met.join(few, facing & (F.col("root") != F.col("root_x")) & can)
+    swap = F.col("id") < F.col("id_x")
+    ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id", "id_x"), ("b", "id_x", "id"), ("ra", "root", "root_x"), ("rb", "root_x", "root"))]
+    return written(cross.select(*ends).distinct(), "pairs")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True, least: float = SIMILARITY) -> DataFrame:
     """One row for each document: id, class_id (the least id of its class), class_size, kept (it is that id).
 
-    Classes are connected by pairs of a similarity of ``least`` or more over shingles of five words.  Documents with
-    the same shingles are one node.  In a bucket (a band's value) all are compared with the least id, and where that
-    leaves it in several components, the members outside the largest with all others of it: each pair that shares a
-    bucket is thus compared or already in one class, and no pair inside a class is made.  Texts without a word
-    (null, empty, blank) are classes of their own.  Rows that repeat an id are one document; null ids come back as
-    classes of their own, with null.  An empty table gives no rows.
+    Classes are connected by pairs of a similarity of ``least`` or more over shingles of five words, each of which
+    weighs as often as it occurs (``weighted``) or 1.  Documents with the same shingles are one node.  In a bucket (a
+    band's value) all are compared with the least id.  Where that leaves the others in several components, the pairs
+    of two components come from ``_sparse_pairs``: each pair that shares a bucket is thus compared, already in one
+    class, or proved to be below ``least``, and no pair inside a class is made.
+
+    Texts without a word (null, empty, blank) are classes of their own.  An id that comes with several texts is one
+    document, near whatever one of them is near; its rows share a class.  Null ids come back as classes of their own,
+    with null.  An empty table gives no rows.
     """
     sig = signatures(docs, id_col, text_col, weighted)
-    node = sig.where("n > 0").groupBy("same", "same2", "n").agg(F.min("id").alias("node"))
-    node = written(node, "nodes")
-    reps = sig.join(node.select(F.col("node").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"])
-    reps = written(reps.select("id", "bands", "sketch"), "representatives")
-    rows = reps.select("id", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    heads = written(heads.select(F.col("band").alias("hb"), "head"), "buckets")
-    members = written(rows.join(heads, rows["band"] == heads["hb"]).select("id", "band", "head"), "members")
-    pairs = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = similarities(written(_likely(pairs, reps), "pairs"), docs, id_col, text_col, weighted, least)
-    comp = components(links)
+    some = sig.where("n > 0")
+    node = written(some.groupBy("same", "same2", "n").agg(F.min("id").alias("node")), "nodes")
+    member = written(some.select("id", "same", "same2", "n").join(node, ["same", "same2", "n"]).select("id", "node"), "named")
+    twice = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select(F.col("id").alias("twice"), "a")
+    twice = member.join(twice, F.col("id") == F.col("twice")).select("a", F.col("node").alias("b")).distinct()
+
+    reps = some.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "n", "bands").dropDuplicates(["id", "n", "bands"])
+    rows = reps.select("id", "n", F.explode("bands").alias("band"))
+    rows = written(rows, "bands")
+    heads = rows.groupBy(F.col("band").alias("hb")).agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    heads = heads.select("hb", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+    members = written(rows.join(heads, F.col("band") == F.col("hb")).where("id <> head").select("id", "n", "band", "head", "head_n"), "members")
+    ids = written(members.select("id").union(members.select("head")).distinct(), "asked")
+    sets = shingle_sets(docs, ids, id_col, text_col, weighted)
+    sizes = F.least("n", "head_n") >= F.greatest("n", "head_n") * least - 1e-9
+    pairs = members.where(sizes).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    comp = components(similar(pairs, sets, least).union(twice))
 
     # buckets that are still in pieces
     of = members.join(comp, members["id"] == comp["node"], "left").select("id", "band", F.coalesce("root", "id").alias("root"))
     of = written(of, "pieces")
-    sizes = of.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("pieces")).where("pieces > 1")
-    main = written(main.select(F.col("band").alias("hb"), F.col("top.root").alias("main")), "broken")
-    torn = of.join(main, of["band"] == main["hb"]).select("id", "band", "root", "main")
-    torn = written(torn, "torn")
-    minor = torn.where("root <> main").select(F.col("id").alias("x"), F.col("band").alias("xb"), F.col("root").alias("xr"))
-    cross = torn.join(minor, (torn["band"] == minor["xb"]) & (torn["root"] != minor["xr"]))
-    cross = cross.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    cross = written(_likely(cross, reps), "pairs").join(pairs, ["a", "b"], "left_anti")
-    more = similarities(written(cross, "pairs"), docs, id_col, text_col, weighted, least)
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    broken = of.groupBy(F.col("band").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b")
+    torn = of.join(fitting(written(broken, "broken")), F.col("band") == F.col("b"), "left_semi").select("id", "root").distinct()
+    torn = written(torn.join(sets.where("n > 0"), "id").select("id", "root", "n", F.xxhash64("s").alias("set"), "s"), "torn")
+    more = similar(_sparse_pairs(torn, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    member = sig.where("n > 0").select("id", "same", "same2", "n").join(node, ["same", "same2", "n"]).select("id", "node")
     comp = comp.select(F.col("node").alias("c_node"), "root")
     classes = member.join(comp, member["node"] == comp["c_node"], "left").select("id", F.coalesce("root", "node").alias("class_id"))
-    classes = classes.union(sig.where("n = 0").select("id", "id"))
+    if not more.isEmpty():
+        last = components(more).select(F.col("node").alias("c_node"), "root")
+        classes = classes.join(last, F.col("class_id") == F.col("c_node"), "left").select("id", F.coalesce("root", "class_id").alias("class_id"))
     classes = written(classes, "classes")
-    size = classes.groupBy(F.col("class_id").alias("c")).agg(F.countDistinct("id").alias("class_size"))
+    blank = written(sig.where("n = 0").select(F.col("id").alias("blank")), "blank")
+    known = written(only_ids(classes, blank.select(F.col("blank").alias("id")).distinct(), "id").distinct(), "known")  # of ids with other texts
+    blank = blank.join(fitting(known), F.col("blank") == F.col("id"), "left").select("blank", F.coalesce("class_id", "blank"))
+    classes = classes.union(blank)
+    size = classes.distinct().groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
     out = classes.join(size.where("class_size > 1"), F.col("class_id") == F.col("c"), "left")
     out = out.select("id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"))
     nulls = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(1).cast("long"), F.lit(True))
@@ -285,6 +329,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, all its columns untouched."""
-    gone = written(near_classes(docs, id_col, text_col).where("not kept").select(id_col), "gone")
+    """``docs`` with one document of each class, all its columns untouched.
+
+    A document is an id: where the one that stays has several rows, all of them stay.  Rows without an id stay.
+    """
+    gone = written(near_classes(docs, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
     return without_ids(docs, gone, id_col)

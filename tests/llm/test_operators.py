@@ -197,7 +197,11 @@ def test_nearest(spark):
 
 def shingle_set(t):
     w = (t or "").lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def likeness(x, y):
+    return (x & y).total() / max(1, (x | y).total())
 
 
 def test_near_classes(spark, hard, empty):
@@ -212,6 +216,8 @@ def test_near_classes(spark, hard, empty):
             for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(80)] = f"n{rng.randint(0, 9999)}"
             rows.append((1000 + len(rows), " ".join(w)))
+    # one text repeats a line, which weighs as often as it occurs
+    rows += [(2000, " ".join(base[0].split()[:20])), (2001, "\n".join([" ".join(base[0].split()[:20])] * 9)), (2002, "\n".join([" ".join(base[0].split()[:20])] * 10))]
     df = hard.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r for r in minhash.near_classes(df).collect()}
     sets = {r.doc_id: shingle_set(r.text) for r in df.collect()}
@@ -226,15 +232,45 @@ def test_near_classes(spark, hard, empty):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and len(x & y) / len(x | y) >= 0.8:
+            if x and y and likeness(x, y) >= 0.8:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     assert {i: got[i].class_id for i in ids} == {i: find(i) for i in ids}
     sizes = Counter(find(i) for i in ids)
     assert all(got[i].class_size == sizes[find(i)] and got[i].kept == (find(i) == i) for i in ids)
+    assert got[2000].class_id == 2000 and got[2002].class_id == 2001
     assert minhash.near_classes(empty).count() == 0
     assert minhash.drop_near_copies(hard).columns == hard.columns
 
 
+def test_near_classes_of_repeated_ids(spark):
+    """An id with several texts is one document; it links what its texts are near to."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (7, b), (9, b), (9, None), (3, c), (None, a), (None, None), (11, ""), (11, ""), (12, a + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in minhash.near_classes(df).collect())
+    assert got == {(5, 5, 4, True): 1, (7, 5, 4, False): 3, (9, 5, 4, False): 2, (12, 5, 4, False): 1, (3, 3, 1, True): 1, (None, None, 1, True): 2, (11, 11, 1, True): 2}
+    kept = Counter(minhash.drop_near_copies(df).collect())
+    assert kept == Counter(x for x in rows if x[0] in (5, 3, 11, None))
+
+
+def test_sparse_pairs(spark):
+    """All pairs of two roots at 0.8, of sets of many sizes with much common text, and few others."""
+    rng, sets = random.Random(4), []
+    for i in range(250):
+        n = rng.randint(1, 120)
+        s = set(rng.sample(range(150), n)) if i % 3 else {x + 1000 for x in range(n)}
+        sets.append((i, s | {rng.randrange(10**6) for _ in range(rng.randint(0, 9))}))
+    for i, s in sets[:80]:
+        sets.append((300 + i, {x for x in s if rng.random() < 0.93} | {-i}))
+    df = written(spark.createDataFrame([(i, i, len(s), i, list(s)) for i, s in sets], "id long, root long, n long, set long, s array<long>"), "torn")
+    got = minhash._sparse_pairs(df, 0.8).collect()
+    pairs = {(r.a, r.b) for r in got}
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and len(x & y) >= 0.8 * len(x | y)}
+    assert len(want) > 100 and want <= pairs and all((r.a, r.b) == (r.ra, r.rb) for r in got)
+    found = {(r.a, r.b) for r in minhash.similar(spark.createDataFrame(got), df, 0.8).collect()}
+    assert found == want
+
+
 def test_dart_minhash_estimates():
     rng, err = np.random.default_rng(0), []
     for _ in range(100):
