@@ -22,23 +22,43 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
 
-def test_exact(hard, empty):
+@pytest.mark.parametrize("capacity,bits", [(4096, 62), (2, 62), (4, 3)])
+def test_exact(hard, empty, capacity, bits):
+    """Also where the directory doubles, and where most texts share their key with others."""
     rows = hard.select("doc_id", "text").collect()
     groups = defaultdict(list)
     for r in rows:
         groups[lower(r.text)].append(r.doc_id)
-    for capacity in (4096, 2):  # 2: the directory doubles
-        got = exact_dedup.exact_dedup(hard, capacity=capacity).collect()
-        assert len(got) == len(rows)
-        texts = {r.doc_id: lower(r.text) for r in rows}
-        for r in got:
-            g = groups[texts[r.doc_id]]
-            assert (r.keep_id, r.group_size, r.kept) == (max(g), len(g), r.doc_id == max(g))
-            assert r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-    index, directory = exact_dedup.build_index(hard, capacity=2)
-    assert directory.agg(F.max("entries")).first()[0] <= 2 and index.count() == len(groups)
-    assert exact_dedup.drop_exact_copies(hard).columns == hard.columns
-    assert exact_dedup.exact_dedup(empty).count() == 0
+    got = exact_dedup.exact_dedup(hard, capacity=capacity, key_bits=bits).collect()
+    texts = {r.doc_id: lower(r.text) for r in rows}
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows)
+    for r in got:
+        g = groups[texts[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (max(g), len(g), r.doc_id == max(g))
+        assert r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    _, index, slots, depth = exact_dedup.build_index(hard, capacity=capacity, key_bits=bits)
+    entries = index.collect()
+    assert len(entries) == len(groups) and sum(r.n for r in entries) == len(rows)
+    keys = defaultdict(set)
+    for r in entries:
+        keys[r.bucket, r.depth].add(r.key)
+        assert r.key >> (exact_dedup.BITS - r.depth) == r.bucket and r.depth <= depth
+    if bits > 3:
+        assert max(map(len, keys.values())) <= capacity and {r.chain for r in entries} == {1}
+    else:
+        assert len({r.key for r in entries}) <= 8 and max(r.chain for r in entries) > 5
+    points = {r.slot: (r.bucket, r.depth) for r in slots.collect()}
+    assert all(slot >> (depth - d) == b for slot, (b, d) in points.items()) and set(keys) <= set(points.values())
+
+
+def test_exact_copies_by_row(spark, hard, empty):
+    rows = [(1, "a", 1), (2, "A", 2), (1, "b", 3), (3, "c", 4), (3, "c", 4), (None, "d", 5), (4, "d", 6), (None, "e", 7), (None, "E", 8), (5, None, 9), (6, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    got = Counter((r.doc_id, lower(r.text)) for r in exact_dedup.drop_exact_copies(df).collect())
+    assert got == Counter([(2, "a"), (1, "b"), (3, "c"), (4, "d"), (None, "e"), (6, "")])
+    kept = exact_dedup.drop_exact_copies(hard)
+    assert kept.columns == hard.columns and kept.count() == hard.select(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).distinct().count()
+    assert exact_dedup.drop_exact_copies(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
 
 
 def test_null_ids(spark):
