@@ -234,14 +234,17 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
     return written(x.where("na > 0 and nb > 0").where(alike).select(*pairs.columns).distinct(), "links")
 
 
-def _sparse_pairs(torn: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb): all pairs of ``torn(id, root, n, set, s)`` (written, set a hash of s) of two roots that can reach ``least``; others too.
+def _prefixes(torn: DataFrame, least: float) -> DataFrame:
+    """(key, id, root, n, own, c, left), written, of ``torn(id, root, n, set, s)`` (written; set is a hash of s).
+
+    Two sets that can reach ``least`` share a key.
 
     Prefix filtering: with all shingles in one order, the rarest first, two sets with an overlap of o have a shingle in
     common among the first n - o + 1 of either, and at the first of these both have o left.  The overlap that a pair
     needs depends on both sizes, so a set shows the prefix that each class of sizes asks for, under a key of the
     shingle and the two classes.  Common text is thus never a key, unless sets have little else, and then they are
-    near copies of each other; keys of one root are left out before any pair is made.
+    near copies of each other.  own and c are the classes of the set and of the partners it faces under the key, left
+    is how many of its shingles stand at this one and after it.
     """
     size_class = lambda n: F.floor(F.log(n) * CLASSES + 1e-9)
     each = torn.select("id", "root", "n", "set", F.explode("s").alias("t"))
@@ -255,30 +258,49 @@ def _sparse_pairs(torn: DataFrame, least: float) -> DataFrame:
     shown = shown.withColumn("alone", F.col("n") - F.size("t")).withColumn("show", (F.col("n") - need + 1 - F.col("alone")).cast("int")).where("show > 0")
     shown = shown.select("id", "root", "n", "own", "c", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("show"))).alias("at", "x"))
     keys = F.xxhash64("x.t", F.least("own", "c"), F.greatest("own", "c")).alias("key")
-    shown = written(shown.select(keys, "id", "root", "n", "own", "c", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    return written(shown.select(keys, "id", "root", "n", "own", "c", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+
 
+def _mixed(shown: DataFrame) -> DataFrame:
+    """The rows of keys that two roots or more share, written."""
     mixed = shown.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
-    mixed = fitting(written(mixed, "mixed"))
-    met = written(shown.join(mixed, F.col("key") == F.col("k")).drop("k"), "met")
-    top = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
-    top = fitting(written(top.select(F.col("key").alias("k"), F.col("top.root").alias("main")), "main"))
-    few = met.join(top, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select(*[F.col(c).alias(f"{c}_x") for c in met.columns])
-    can = F.least("left", "left_x") >= _overlap(least, F.col("n"), F.col("n_x"))
+    return written(shown.join(fitting(written(mixed, "mixed")), F.col("key") == F.col("k")).drop("k"), "met")
+
+
+def _facing(met: DataFrame, few: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb), written: the pairs of a row of ``met`` and one of ``few`` of another root that can reach ``least``."""
+    few = few.select(*[F.col(c).alias(f"{c}_x") for c in met.columns])
     facing = (F.col("key") == F.col("key_x")) & (F.col("own") == F.col("c_x")) & (F.col("c") == F.col("own_x"))
+    can = F.least("left", "left_x") >= _overlap(least, F.col("n"), F.col("n_x"))
     cross = met.join(few, facing & (F.col("root") != F.col("root_x")) & can)
     swap = F.col("id") < F.col("id_x")
     ends = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "id", "id_x"), ("b", "id_x", "id"), ("ra", "root", "root_x"), ("rb", "root_x", "root"))]
     return written(cross.select(*ends).distinct(), "pairs")
 
 
+def _led(met: DataFrame, least: float) -> DataFrame:
+    """Pairs of each key's least id with the others: as many as there are rows, at most."""
+    first = met.groupBy("key", "own", "c").agg(F.min(F.struct("id", "root", "n", "left")).alias("x"))
+    return _facing(met, first.select("key", "x.id", "x.root", "x.n", "own", "c", "x.left"), least)
+
+
+def _crossed(met: DataFrame, least: float) -> DataFrame:
+    """All pairs of two roots: of the rows outside a key's largest root with all others."""
+    top = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
+    top = fitting(written(top.select(F.col("key").alias("k"), F.col("top.root").alias("main")), "main"))
+    few = met.join(top, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select(*met.columns)
+    return _facing(met, few, least)
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True, least: float = SIMILARITY) -> DataFrame:
     """One row for each document: id, class_id (the least id of its class), class_size, kept (it is that id).
 
     Classes are connected by pairs of a similarity of ``least`` or more over shingles of five words, each of which
     weighs as often as it occurs (``weighted``) or 1.  Documents with the same shingles are one node.  In a bucket (a
-    band's value) all are compared with the least id.  Where that leaves the others in several components, the pairs
-    of two components come from ``_sparse_pairs``: each pair that shares a bucket is thus compared, already in one
-    class, or proved to be below ``least``, and no pair inside a class is made.
+    band's value) all are compared with the least id.  Where that leaves the others in several components, their rare
+    shingles make keys (``_prefixes``); in keys of several components again all are compared with the least id, and
+    then, in those still mixed, all of two components with each other.  Each pair that shares a bucket is thus
+    compared, already in one class, or proved to be below ``least``, and next to no pair inside a class is made.
 
     Texts without a word (null, empty, blank) are classes of their own.  An id that comes with several texts is one
     document, near whatever one of them is near; its rows share a class.  Null ids come back as classes of their own,
@@ -309,13 +331,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     broken = of.groupBy(F.col("band").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b")
     torn = of.join(fitting(written(broken, "broken")), F.col("band") == F.col("b"), "left_semi").select("id", "root").distinct()
     torn = written(torn.join(sets.where("n > 0"), "id").select("id", "root", "n", F.xxhash64("s").alias("set"), "s"), "torn")
-    more = similar(_sparse_pairs(torn, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    met = _mixed(_prefixes(torn, least))
+    more = similar(_led(met, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    now = components(more).select(F.col("node").alias("c_node"), F.col("root").alias("now"))
+    met = met.join(now, F.col("root") == F.col("c_node"), "left").withColumn("now", F.coalesce("now", "root")).drop("root", "c_node")
+    met = _mixed(written(met.withColumnRenamed("now", "root").select("key", "id", "root", "n", "own", "c", "left"), "joined"))
+    last = similar(_crossed(met, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
     comp = comp.select(F.col("node").alias("c_node"), "root")
     classes = member.join(comp, member["node"] == comp["c_node"], "left").select("id", F.coalesce("root", "node").alias("class_id"))
-    if not more.isEmpty():
-        last = components(more).select(F.col("node").alias("c_node"), "root")
-        classes = classes.join(last, F.col("class_id") == F.col("c_node"), "left").select("id", F.coalesce("root", "class_id").alias("class_id"))
+    if not (more.isEmpty() and last.isEmpty()):
+        joined = components(more.union(last)).select(F.col("node").alias("c_node"), "root")
+        classes = classes.join(joined, F.col("class_id") == F.col("c_node"), "left").select("id", F.coalesce("root", "class_id").alias("class_id"))
     classes = written(classes, "classes")
     blank = written(sig.where("n = 0").select(F.col("id").alias("blank")), "blank")
     known = written(only_ids(classes, blank.select(F.col("blank").alias("id")).distinct(), "id").distinct(), "known")  # of ids with other texts

@@ -283,12 +283,14 @@ def test_sparse_pairs(spark):
     for i, s in sets[:80]:
         sets.append((300 + i, {x for x in s if rng.random() < 0.93} | {-i}))
     df = written(spark.createDataFrame([(i, i, len(s), i, list(s)) for i, s in sets], "id long, root long, n long, set long, s array<long>"), "torn")
-    got = minhash._sparse_pairs(df, 0.8).collect()
+    met = minhash._mixed(minhash._prefixes(df, 0.8))
+    got = minhash._crossed(met, 0.8).collect()
     pairs = {(r.a, r.b) for r in got}
     want = {(i, j) for i, x in sets for j, y in sets if i < j and len(x & y) >= 0.8 * len(x | y)}
     assert len(want) > 100 and want <= pairs and all((r.a, r.b) == (r.ra, r.rb) for r in got)
     found = {(r.a, r.b) for r in minhash.similar(spark.createDataFrame(got), df, 0.8).collect()}
     assert found == want
+    assert minhash._led(met, 0.8).count() <= met.count()
 
 
 def test_dart_minhash_estimates():
