@@ -154,15 +154,15 @@ def _url(t: str, at: int):
     a = at
     while a > 0 and at - a < 32 and t[a - 1] in _ALNUM:
         a -= 1
-    n, z = len(t), at + 3
-    while z < n and t[z] in _URL:
-        z += 1
-    auth = t[at + 3 : z]
-    for stop in "/?#":
-        auth = auth.partition(stop)[0]
-    user, sep, host = auth.rpartition("@")
+    n, y = len(t), at + 3
+    while y < n and t[y] in _URL and t[y] not in "/?#":  # not past the next scheme: each character is looked at twice at most
+        y += 1
+    user, sep, host = t[at + 3 : y].rpartition("@")
     if a == at or not t[a].isalpha() or not sep or not user or not host:
         return None
+    z = y
+    while z < n and t[z] in _URL:
+        z += 1
     while t[z - 1] in ".,;:!?)'":
         z -= 1
     return a, z
@@ -219,7 +219,9 @@ def listed(spans: dict[str, list[tuple[int, int]]], kinds=KINDS) -> str:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Whole texts are read; null counts as empty and has no spans.  ``spans`` also has the kinds that the method adds.
+    Whole texts are read, in time that grows as their length; null counts as empty and has no spans.  ``spans`` also
+    has the kinds that the method adds.  Rows that repeat an id, and null ids, have rows of their own; an empty table
+    gives none.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -18,8 +18,12 @@ from .wavelet import WaveletMatrix, build
 
 #: Tokens after which a task begins the next shard; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 21
-#: UTF-8 bytes of text of a write task.
+#: Stands for a null id in the files; an id may not be the least of all longs.
+NO_ID = -(1 << 63)
+#: UTF-8 bytes of text of a write task, at least; of larger inputs a task has more, so that tasks grow as their root.
 TASK_BYTES = 32 << 20
+#: Tasks up to which each has TASK_BYTES.
+TASKS = 4096
 
 
 def _fs(uri: str):
@@ -58,6 +62,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ship(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, math.ceil(size / TASK_BYTES))
+    if parts > TASKS:
+        parts = math.ceil(math.sqrt(parts * TASKS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
 
@@ -82,7 +88,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             if not b.num_rows:
                 continue
             part = b.column("part")[0].as_py()
-            names = np.array([-1 if x is None else x for x in b.column("id").to_pylist()], dtype=np.int64)
+            names = b.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, ids, counts in enc.encode(b.column("text")):
                 ids, edge = with_end(ids, counts, end_id)
                 a = 0
@@ -103,7 +109,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 
 def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document, from the files: id, start, n_tokens, ids_crc32.  -1 stands for a null id."""
+    """One row for each document, from the files: id, start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
     ship(spark)
     # a few rows for each shard: the running sum over shards is a window over these alone
@@ -119,7 +125,7 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 ids, ends = m.tokens().astype("<u4"), m.ends
                 starts = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch({"id": pa.array(m.doc_ids), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.record_batch({"id": pa.array(m.doc_ids, mask=m.doc_ids == NO_ID), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
     out = placed.repartition(tasks, "path").mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
@@ -128,7 +134,8 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
-    An empty table writes no file and gives no rows; rows that repeat an id are documents of their own.
+    Null texts are empty.  Null ids come first and stay null.  An empty table writes no file and gives no rows; rows
+    that repeat an id are documents of their own.
     """
     folder = f"{shared_dir(docs.sparkSession)}/tokens"
     return read_token_shards(write_token_shards(docs, folder, tokenizer, end_id, id_col, text_col), id_col)

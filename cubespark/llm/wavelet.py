@@ -7,17 +7,24 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 #: Tokens between two entries of a plane's rank directory.
 STEP = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def _directory(plane: np.ndarray) -> np.ndarray:
+    pad = np.zeros(-len(plane) % (STEP // 8), np.uint8)
+    per = _ONES[np.concatenate((plane, pad))].reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
+    return np.concatenate(([0], np.cumsum(per))).astype("<i8")
+
+
 def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
-    """The file of one shard: header, documents, and a plane for each bit from the highest, each part compressed.
+    """The file of one shard: header, documents, and for each bit from the highest a rank directory and a plane.
 
-    ``ends``: where each document's tokens end.  A plane holds, in the order that the planes above have made, one bit
-    of each token; tokens with a 0 then go before those with a 1, each in order.
+    Each part is compressed by itself and read when it is first asked for.  ``ends``: where each document's tokens
+    end.  A plane holds, in the order that the planes above have made, one bit of each token; tokens with a 0 then go
+    before those with a 1, each in order.  Its directory has the ones before every STEP-th bit, and all of them.
     """
     bits = max(1, int(ids.max()).bit_length() if len(ids) else 1)
     comp = zstandard.ZstdCompressor(level=1)
@@ -25,7 +32,8 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> bytes:
     parts = [comp.compress(doc_ids.astype("<i8").tobytes()), comp.compress(ends.astype("<i8").tobytes())]
     for b in range(bits - 1, -1, -1):
         one = (seq >> b & 1).astype(bool)
-        parts.append(comp.compress(np.packbits(one).tobytes()))
+        plane = np.packbits(one)
+        parts += [comp.compress(_directory(plane).tobytes()), comp.compress(plane.tobytes())]
         seq = np.concatenate((seq.take(np.flatnonzero(~one)), seq.take(np.flatnonzero(one))))  # far faster than seq[one]
     head = struct.pack("<4sQQI", MAGIC, len(ids), len(doc_ids), bits)
     return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
@@ -39,39 +47,40 @@ class WaveletMatrix:
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
         at = struct.calcsize("<4sQQI")
-        sizes = struct.unpack_from(f"<{2 + self.bits}Q", data, at)
+        sizes = struct.unpack_from(f"<{2 + 2 * self.bits}Q", data, at)
         at += 8 * len(sizes)
-        dec, parts = zstandard.ZstdDecompressor(), []
-        for s in sizes:
-            parts.append(dec.decompress(data[at : at + s]))
-            at += s
-        self.doc_ids, self.ends = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
-        assert len(self.doc_ids) == docs
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[2:]]
-        self._ranks: list[np.ndarray] | None = None
-
-    def _directory(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            self._ranks = []
-            for p in self.planes:
-                pad = np.zeros(-len(p) % (STEP // 8), np.uint8)
-                per = _ONES[np.concatenate((p, pad))].reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64)
-                self._ranks.append(np.concatenate(([0], np.cumsum(per))))
-        return self._ranks
+        self._parts: list[bytes | np.ndarray] = []
+        for size in sizes:
+            self._parts.append(data[at : at + size])
+            at += size
+        self.doc_ids, self.ends = self._part(0, "<i8"), self._part(1, "<i8")
+        if len(self.doc_ids) != docs:
+            raise ValueError("a wavelet matrix file with other documents than its header says")
+
+    def _part(self, i: int, kind: str) -> np.ndarray:
+        if isinstance(self._parts[i], bytes):
+            self._parts[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._parts[i]), kind)
+        return self._parts[i]
+
+    def _ranks(self, level: int) -> np.ndarray:
+        return self._part(2 + 2 * level, "<i8")
+
+    def _plane(self, level: int) -> np.ndarray:
+        return self._part(3 + 2 * level, "u1")
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        r, p = self._directory()[level], self.planes[level]
+        r, p = self._ranks(level), self._plane(level)
         n = int(r[i // STEP])
         a, b = i // STEP * (STEP // 8), i // 8
         n += int(_ONES[p[a:b]].sum())
         return n + (bin(p[b] >> (8 - i % 8)).count("1") if i % 8 else 0)
 
     def _zeros(self, level: int) -> int:
-        return self.n - self._rank1(level, self.n)
+        return self.n - int(self._ranks(level)[-1])
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i // 8] >> (7 - i % 8) & 1)
+        return int(self._plane(level)[i // 8] >> (7 - i % 8) & 1)
 
     def access(self, i: int) -> int:
         """The token at place ``i``."""
@@ -108,10 +117,10 @@ class WaveletMatrix:
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The place of the ``k``-th (from 0) such bit of a plane."""
-        r = self._directory()[level]
+        r = self._ranks(level)
         counts = r if bit else np.minimum(np.arange(len(r)) * STEP, self.n) - r
         block = int(np.searchsorted(counts, k, side="right")) - 1
-        p = self.planes[level][block * (STEP // 8) : (block + 1) * (STEP // 8)]
+        p = self._plane(level)[block * (STEP // 8) : (block + 1) * (STEP // 8)]
         places = np.flatnonzero(np.unpackbits(p)[: self.n - block * STEP] == bit)
         return block * STEP + int(places[k - int(counts[block])])
 
@@ -131,8 +140,8 @@ class WaveletMatrix:
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes undone from the lowest."""
         v = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
-        for b, p in enumerate(reversed(self.planes)):
-            one = np.unpackbits(p, count=self.n).astype(bool)
+        for b in range(self.bits):
+            one = np.unpackbits(self._plane(self.bits - 1 - b), count=self.n).astype(bool)
             ones, up = np.flatnonzero(one), np.empty_like(v)
             z = self.n - len(ones)
             up.put(np.flatnonzero(~one), v[:z])

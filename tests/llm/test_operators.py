@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,8 @@ def test_token_shards(spark, hard, empty, tmp_path, size):
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tokens.token_table(empty, path).count() == 0
+    few = spark.createDataFrame([(-1, "a"), (None, "b"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id, r.start) for r in tokens.token_table(few, path).collect()) == [(False, -1, 3), (True, None, 0), (True, None, 2)]
 
 
 def test_shards(hard, empty):
@@ -353,6 +356,10 @@ def test_personal_data(spark, hard, empty):
         assert {k: got[k] for k in BASE} == brute(t), t
     spans = pii.listed(pii.find("IBAN DE89370400440532013000, https://u:p@h.de/x. account: 12345678"))
     assert spans == "account:5:27,url:29:47,email:39:45,account:58:66"
+    began = time.perf_counter()
+    for part in ("http://", "a://b@", "x@", "1.", "+1", "4 ", "iban DE", "://a/", "a.b@c."):
+        pii.find(part * 20_000)
+    assert time.perf_counter() - began < 20
     df = hard.select("doc_id", "text").union(spark.createDataFrame([(500 + i, t) for i, t in enumerate(texts[-40:])], "doc_id long, text string"))
     for r, t in zip(sorted(pii.find_personal_data(df).collect()), sorted(df.collect()), strict=True):
         b = brute(t.text or "")
