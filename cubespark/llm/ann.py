@@ -161,10 +161,10 @@ def fit_ratio(graph: CentroidGraph, x: np.ndarray, raw: np.ndarray, k: int) -> f
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): rows whose vector is not null or zero, has finite components only, and the most usual length."""
+    """(id, v): rows with an id whose vector is not null or zero, has finite components only, and the most usual length."""
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    x = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("v").isNotNull() & F.exists("v", lambda e: e != 0) & ~bad)
+    x = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda e: e != 0) & ~bad)
     x = written(x.withColumn("d", F.size("v")), "vectors")
     usual = x.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     return x.where(F.col("d") == (usual.d if usual else 0)).drop("d")
@@ -182,6 +182,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
     Lists are cut into parts of LIST_ROWS rows and their queries into blocks, so no task holds a whole list.  A query
     takes its nearest lists first; of the other lists within the ratio only what reaches its k-th score comes back.
     Equal vectors share their lists.  Rows that repeat an id count once.  Fewer candidates than ``k``: all found.
+    Rows without an id take no part, nor do vectors that are null, zero, not finite throughout, or of another length
+    than most.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -192,10 +194,10 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
         return empty
     part = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30))
     # about 0.9 SAMPLE rows by a hash of the id, so over SAMPLE only where ids repeat; those are cut off
-    some = x.where(part < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 30))).toArrow()
+    some = x.where(part < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 30))).limit(SAMPLE).toArrow()
     if not some.num_rows:
         some = x.limit(1).toArrow()
-    some = some.sort_by("id").slice(0, SAMPLE)
+    some = some.sort_by("id")
     raw = _matrix(some.column("v")).astype(float)
     del some
     norm2 = x.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()[0]

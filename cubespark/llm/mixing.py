@@ -152,8 +152,9 @@ def mixing_plan(
     plan = written(plan, "plan")
     last = thin.join(plan.select(F.col("src").alias("p_src"), "whole", "rest"), F.col("src").eqNullSafe(F.col("p_src"))).where("rest > 0")
     last = _permuted(last.select("id", "src", F.col("whole").alias("epoch"), "tokens", "rest"), seed)
-    # while they fit: starts grow along the permutation, so the rows that fit are those up to one key
-    cut = last.where(F.col("start") + F.col("tokens") <= F.col("rest")).groupBy(F.col("src").alias("c_src")).agg(F.max("key").alias("cut"))
+    # while they fit: starts grow along the permutation, so those that fit are before one key ("~" is after all of them)
+    over = F.when(F.col("start") + F.col("tokens") > F.col("rest"), F.col("key"))
+    cut = last.groupBy(F.col("src").alias("c_src")).agg(F.coalesce(F.min(over), F.lit("~")).alias("cut"))
     plan = written(plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src"), "plan")
     return plan, thin
 
@@ -163,7 +164,7 @@ def _epochs(rows: DataFrame, plan: DataFrame, id_col, src_col, seed: int) -> Dat
     p = plan.select(F.col("src").alias("__cs_src"), F.col("whole").alias("__cs_w"), F.col("cut").alias("__cs_cut"))
     x = rows.join(p, rows[src_col].eqNullSafe(p["__cs_src"]))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__cs_w").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    times = F.col("__cs_w") + F.when(key <= F.col("__cs_cut"), 1).otherwise(0)
+    times = F.col("__cs_w") + F.when(key < F.col("__cs_cut"), 1).otherwise(0)
     spread = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
     return x.withColumn("__cs_epoch", F.explode(spread)).drop("__cs_src", "__cs_w", "__cs_cut")
 
@@ -172,7 +173,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """One row for each copy that the mixture takes: id, source, epoch, block, tokens, start, weight.
 
     ``start``: tokens before it in its source's permutation of that epoch, blocks being runs of it.  See
-    ``mixing_plan`` for the targets.  An empty table gives no rows; rows that repeat an id are taken alike.
+    ``mixing_plan`` for the targets.  An empty table gives no rows.  Rows that repeat an id are taken alike: in a
+    source's last epoch none of them where they do not all fit.  A null source is a source, and a null id an id; a text
+    that is null or empty has no tokens and comes once for each whole epoch.
     """
     plan, thin = mixing_plan(docs, id_col, source_col, tokens, seed=seed, **target)
     rows = _epochs(thin, plan, "id", "src", seed).withColumnRenamed("__cs_epoch", "epoch")
@@ -184,6 +187,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, seed: int = 17, **target) -> DataFrame:
-    """``docs`` itself in the mixture: each row as often as the plan takes it, with its columns.  Texts are not shuffled."""
+    """``docs`` itself in the mixture: each row as often as the plan takes it, with its columns.  Texts are not shuffled.
+
+    Nulls, repeated ids and empty tables: as in ``mix_sources``.
+    """
     plan, _ = mixing_plan(docs, id_col, source_col, byte_tokens(F.col(text_col)), seed=seed, **target)
     return _epochs(docs, plan, id_col, source_col, seed).select(*docs.columns)

@@ -195,7 +195,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16)).astype(np.float32)
     x[200:300] = x[200]  # many equal vectors
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (920, [0.0] * 16, 0), (940, [float("nan")] * 16, 0), (960, [None] * 16, 0), (980, [1.0], 0)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (920, [0.0] * 16, 0), (940, [float("nan")] * 16, 0), (960, [None] * 16, 0), (980, [1.0], 0), (None, x[0].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
     got = ann.nearest(df, F.col("id") % 20 == 0, k=20).collect()
     by = defaultdict(list)
