@@ -1,6 +1,7 @@
 """Documents to packed training sequences: each stage is written as Parquet and read again by the next.
 
-run(spark, sf_dir) -> the pieces of the kept documents with their places in sequences.
+run(spark, sf_dir) -> the pieces of the kept documents with their places in sequences.  No stage fails on nulls in any
+column, empty or very long texts, repeated rows or ids, further columns or an empty table; its operator says what comes out.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ from cubespark.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, which no language can be told of."""
+    """Drops texts of which no language is likelier than all others together, and those without a letter (nulls too)."""
     return langid.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; rows of one id are judged each by its own text."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates one document stays."""
+    """Of each class of near duplicates one document stays; documents without a doc_id all stay."""
     return minhash.drop_near_copies(docs)
 
 
