@@ -23,7 +23,7 @@ UNKNOWN = "und"
 #: A text is kept where its language is likelier than all others together.
 LEAST = 0.5
 #: Characters that are scored at a time; a longer text is scored alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _letters: list[np.ndarray] = []
 

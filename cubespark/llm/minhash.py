@@ -16,7 +16,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4 coordinates: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
 BANDS, ROWS = 20, 4
 #: Bytes of text that are hashed at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Classes of set sizes to a factor of e.
 CLASSES = 50
 
