@@ -7,6 +7,9 @@ import json
 import os
 import pickle
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 from .metadata import MLModel
 from .nets import NetClassifier
 
@@ -32,7 +35,7 @@ def save_ml_model(model: MLModel, name: str, options: dict | None = None) -> boo
         with open(os.path.join(folder, f"{name}.stac.json"), "w") as f:
             json.dump(item, f, indent=1)
         return True
-    except Exception:  # the contract is a flag, not an error
+    except (OSError, pickle.PicklingError, Py4JError, PySparkException):  # the contract is a flag where it cannot be written
         return False
 
 

@@ -6,6 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def apply(cube: DataCube, process, *, context=None) -> DataCube:
     v, more = F.col(cube.schema.value), {} if context is None else {"context": context}
     try:
         out = process(v, **more)
-    except Exception:  # what a function raises on a Column is its own matter: it is then one of arrays
+    except (TypeError, ValueError, AttributeError, PySparkException):  # not a function of a Column: it is then one of arrays
         out = None
     if not isinstance(out, Column):
         call = F.pandas_udf(lambda s: pd.Series(process(s.to_numpy(dtype=float), **more), dtype=float), "double")

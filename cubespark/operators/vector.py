@@ -6,6 +6,7 @@ import math
 from dataclasses import replace
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def apply(cube: DataCube, process, *, context=None) -> DataCube:
     more = {} if context is None else {"context": context}
     try:
         out = process(cube.df, **more)
-    except Exception:  # what it raises on a DataFrame is its own matter: it is then one of pandas frames
+    except (TypeError, ValueError, AttributeError, PySparkException):  # not a function of a DataFrame: it is then one of pandas frames
         out = None
     if not isinstance(out, DataFrame):
         schema = cube.df.schema

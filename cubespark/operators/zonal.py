@@ -6,7 +6,7 @@ import json
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cube import DataCube
@@ -45,8 +45,14 @@ def aggregate_spatial(cube: DataCube, geometries=None, reducer: str = "mean", *,
 
 
 def with_ids(zones: DataCube) -> DataFrame:
+    """The zones with ``geom_id``; one made here comes from the row's content, so it is the same however often and in
+    whatever order the zones are computed."""
     df = zones.df
-    return df if "geom_id" in df.columns else df.withColumn("geom_id", F.monotonically_increasing_id())
+    if "geom_id" in df.columns:
+        return df
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    again = F.row_number().over(Window.partitionBy("geom_id").orderBy("geom_id"))  # rows that are wholly equal
+    return df.withColumn("geom_id", own).withColumn("geom_id", F.xxhash64("geom_id", again))
 
 
 def in_zones(cells: DataFrame, zones: DataFrame, x: str, y: str, size: tuple[float, float]) -> DataFrame:

@@ -99,8 +99,13 @@ class ParquetCollectionLoader:
             df = df.where(c)
         labels = tuple(bands) if bands is not None else None
         if bands is not None:
-            there = [r[0] for r in self._open(collection_id).select(*[F.col(c).alias("bands") for c in ("bands", "band") if c in self._open(collection_id).columns][:1]).distinct().collect()]
-            keys = resolve_bands(there, bands)
+            # a handful of names: those of the rows that the other filters leave, else of all rows
+            try:
+                keys = resolve_bands([r[0] for r in df.select("bands").distinct().collect()], bands)
+            except ValueError:
+                whole = self._open(collection_id)
+                name = "bands" if "bands" in whole.columns else "band"
+                keys = resolve_bands([r[0] for r in whole.select(name).distinct().collect()], bands)
             df = df.where(F.col("bands").isin(keys))
             named = F.create_map(*[F.lit(v) for k, b in zip(keys, bands, strict=True) for v in (k, b)])
             if list(keys) != list(bands):

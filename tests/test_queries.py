@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cubespark.plans.queries import QUERIES, SQL
@@ -42,6 +43,6 @@ def test_filters_reach_the_scan(spark, data):
 
     path = f"{data}/events.parquet"
     df = spark.read.parquet(path).select("ts", "event_id", "value")
-    cube = DataCube(df.withColumnRenamed("event_id", "longitude").withColumn("latitude", df["event_id"]), CubeSchema((Dim("longitude"), Dim("latitude"))))
+    cube = DataCube(df.withColumnRenamed("event_id", "longitude").withColumn("latitude", F.col("longitude")), CubeSchema((Dim("longitude"), Dim("latitude"))))
     plan = cube.filter_bbox(west=1, south=1, east=9, north=9).df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(event_id,1)" in plan.replace(" ", "")
