@@ -20,8 +20,8 @@ FIT_DOCS = 1500
 #: Scale of term frequencies (a feature's share of a text's n-grams).
 SCALE = 100.0
 UNKNOWN = "und"
-#: A text is kept where its language is likelier than all others together.
-LEAST = 0.5
+#: A text is kept where its language is likelier by so much than one drawn at random from those learned.
+LEAST = 1.2
 #: Characters that are scored at a time; a longer text is scored alone.
 SLICE = 1 << 18
 
@@ -265,7 +265,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
-    """``docs`` less the rows rejected: null texts, those without a letter, and scores under ``least``.
+    """``docs`` less the rows rejected: null texts, those without a letter, and scores under ``least`` over the number
+    of languages (where that is more than one): texts that are like none of them.
 
     All columns stay untouched, repeated rows and null ids are judged like others, and an empty table stays empty.
     Where nothing could be learned, for want of a language in any row, only texts without a letter go.
@@ -274,4 +275,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not model.languages:
         return docs.where(F.regexp_like(text_col, F.lit(r"\p{L}")))
     judged = predict(docs, model, text_col, "__cs_lang", "__cs_score")
-    return judged.where((F.col("__cs_lang") != UNKNOWN) & (F.col("__cs_score") >= least)).select(*docs.columns)
+    return judged.where((F.col("__cs_lang") != UNKNOWN) & (F.col("__cs_score") >= (least / len(model.languages) if len(model.languages) > 1 else 0.0))).select(*docs.columns)

@@ -17,6 +17,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
+#: Rounds in which one document of a key speaks for its class, before all of two classes meet.
+LED = 2
 #: Classes of set sizes to a factor of e.
 CLASSES = 50
 
@@ -235,7 +237,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Dat
 
 
 def _prefixes(torn: DataFrame, least: float) -> DataFrame:
-    """(key, id, root, n, own, c, left), written, of ``torn(id, root, n, set, s)`` (written; set is a hash of s).
+    """(key, id, root, fame, n, own, c, left), written, of ``torn(id, root, fame, n, set, s)`` (written; set is a hash of s).
 
     Two sets that can reach ``least`` share a key.
 
@@ -247,18 +249,18 @@ def _prefixes(torn: DataFrame, least: float) -> DataFrame:
     is how many of its shingles stand at this one and after it.
     """
     size_class = lambda n: F.floor(F.log(n) * CLASSES + 1e-9)
-    each = torn.select("id", "root", "n", "set", F.explode("s").alias("t"))
+    each = torn.select("id", "root", "fame", "n", "set", F.explode("s").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumnRenamed("t", "t2")
-    shared = each.join(often, F.col("t") == F.col("t2")).groupBy("id", "root", "n", "set").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("t"))
+    shared = each.join(often, F.col("t") == F.col("t2")).groupBy("id", "root", "fame", "n", "set").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("t"))
     # sizes that differ by 2 % make a class, so these are at most some 1,100 rows
     lows = torn.groupBy(size_class(F.col("n")).alias("c")).agg(F.min("n").alias("low"))
     near = F.explode(F.sequence(size_class(F.ceil(F.col("n") * least - 1e-9)), size_class(F.floor(F.col("n") / least + 1e-9))))
     shown = shared.withColumn("own", size_class(F.col("n"))).withColumn("c", near).join(F.broadcast(lows), "c")
     need = _overlap(least, F.col("n"), F.greatest("low", F.ceil(F.col("n") * least - 1e-9)))
     shown = shown.withColumn("alone", F.col("n") - F.size("t")).withColumn("show", (F.col("n") - need + 1 - F.col("alone")).cast("int")).where("show > 0")
-    shown = shown.select("id", "root", "n", "own", "c", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("show"))).alias("at", "x"))
+    shown = shown.select("id", "root", "fame", "n", "own", "c", "alone", F.posexplode(F.slice("t", F.lit(1), F.col("show"))).alias("at", "x"))
     keys = F.xxhash64("x.t", F.least("own", "c"), F.greatest("own", "c")).alias("key")
-    return written(shown.select(keys, "id", "root", "n", "own", "c", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
+    return written(shown.select(keys, "id", "root", "fame", "n", "own", "c", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "prefixes")
 
 
 def _mixed(shown: DataFrame) -> DataFrame:
@@ -278,18 +280,23 @@ def _facing(met: DataFrame, few: DataFrame, least: float) -> DataFrame:
     return written(cross.select(*ends).distinct(), "pairs")
 
 
+def _outside(met: DataFrame) -> DataFrame:
+    """The rows outside their key's largest root."""
+    top = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
+    top = fitting(written(top.select(F.col("key").alias("k"), F.col("top.root").alias("main")), "main"))
+    return met.join(top, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select(*met.columns)
+
+
 def _led(met: DataFrame, least: float) -> DataFrame:
-    """Pairs of each key's least id with the others: as many as there are rows, at most."""
-    first = met.groupBy("key", "own", "c").agg(F.min(F.struct("id", "root", "n", "left")).alias("x"))
-    return _facing(met, first.select("key", "x.id", "x.root", "x.n", "own", "c", "x.left"), least)
+    """Pairs of one document outside each key's largest root, that of most fame, with others: at most one for each row."""
+    own = ("key", "own", "c")
+    first = _outside(met).groupBy(*own).agg(F.max(F.struct("fame", (-F.col("id")).alias("less"), *[c for c in met.columns if c not in own and c != "fame"])).alias("x"))
+    return _facing(met, first.select(*[c if c in own else f"x.{c}" for c in met.columns]), least)
 
 
 def _crossed(met: DataFrame, least: float) -> DataFrame:
     """All pairs of two roots: of the rows outside a key's largest root with all others."""
-    top = met.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
-    top = fitting(written(top.select(F.col("key").alias("k"), F.col("top.root").alias("main")), "main"))
-    few = met.join(top, (F.col("key") == F.col("k")) & (F.col("root") != F.col("main"))).select(*met.columns)
-    return _facing(met, few, least)
+    return _facing(met, _outside(met), least)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = True, least: float = SIMILARITY) -> DataFrame:
@@ -297,8 +304,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Classes are connected by pairs of a similarity of ``least`` or more over shingles of five words, each of which
     weighs as often as it occurs (``weighted``) or 1.  Documents with the same shingles are one node.  In a bucket (a
-    band's value) all are compared with the least id.  Where that leaves the others in several components, their rare
-    shingles make keys (``_prefixes``); in keys of several components again all are compared with the least id, and
+    band's value) all are compared with the one that shares buckets with most others.  Where that leaves the others in several components, their rare
+    shingles make keys (``_prefixes``); in keys of several components all are compared with one outside the largest, and
     then, in those still mixed, all of two components with each other.  Each pair that shares a bucket is thus
     compared, already in one class, or proved to be below ``least``, and next to no pair inside a class is made.
 
@@ -316,9 +323,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = some.join(node.select(F.col("node").alias("id")), "id", "left_semi").select("id", "n", "bands").dropDuplicates(["id", "n", "bands"])
     rows = reps.select("id", "n", F.explode("bands").alias("band"))
     rows = written(rows, "bands")
-    heads = rows.groupBy(F.col("band").alias("hb")).agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = rows.groupBy(F.col("band").alias("b")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = written(rows.join(sizes, F.col("band") == F.col("b")).select("id", "n", "band", "m"), "shared")
+    fame = rows.groupBy(F.col("id").alias("i")).agg(F.sum("m").alias("fame"))  # with whom it shares buckets: a text in the midst of its copies, most
+    rows = written(rows.join(fame, F.col("id") == F.col("i")).select("id", "n", "band", "fame"), "shared")
+    heads = rows.groupBy(F.col("band").alias("hb")).agg(F.max(F.struct("fame", (-F.col("id")).alias("less"), "id", "n")).alias("head"))
     heads = heads.select("hb", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
-    members = written(rows.join(heads, F.col("band") == F.col("hb")).where("id <> head").select("id", "n", "band", "head", "head_n"), "members")
+    members = written(rows.join(heads, F.col("band") == F.col("hb")).where("id <> head").select("id", "n", "band", "fame", "head", "head_n"), "members")
     ids = written(members.select("id").union(members.select("head")).distinct(), "asked")
     sets = shingle_sets(docs, ids, id_col, text_col, weighted)
     sizes = F.least("n", "head_n") >= F.greatest("n", "head_n") * least - 1e-9
@@ -326,22 +337,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = components(similar(pairs, sets, least).union(twice))
 
     # buckets that are still in pieces
-    of = members.join(comp, members["id"] == comp["node"], "left").select("id", "band", F.coalesce("root", "id").alias("root"))
+    of = members.join(comp, members["id"] == comp["node"], "left").select("id", "band", "fame", F.coalesce("root", "id").alias("root"))
     of = written(of, "pieces")
     broken = of.groupBy(F.col("band").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b")
-    torn = of.join(fitting(written(broken, "broken")), F.col("band") == F.col("b"), "left_semi").select("id", "root").distinct()
-    torn = written(torn.join(sets.where("n > 0"), "id").select("id", "root", "n", F.xxhash64("s").alias("set"), "s"), "torn")
-    met = _mixed(_prefixes(torn, least))
-    more = similar(_led(met, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    now = components(more).select(F.col("node").alias("c_node"), F.col("root").alias("now"))
-    met = met.join(now, F.col("root") == F.col("c_node"), "left").withColumn("now", F.coalesce("now", "root")).drop("root", "c_node")
-    met = _mixed(written(met.withColumnRenamed("now", "root").select("key", "id", "root", "n", "own", "c", "left"), "joined"))
-    last = similar(_crossed(met, least), sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    torn = of.join(fitting(written(broken, "broken")), F.col("band") == F.col("b"), "left_semi").select("id", "root", "fame").distinct()
+    torn = written(torn.join(sets.where("n > 0"), "id").select("id", "root", "fame", "n", F.xxhash64("s").alias("set"), "s"), "torn")
+    met, found = _mixed(_prefixes(torn, least)), None
+    for round_ in range(LED + 1):
+        pairs = _led(met, least) if round_ < LED else _crossed(met, least)
+        more = similar(pairs, sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        found = more if found is None else found.union(more)
+        if round_ < LED and not more.isEmpty():
+            now = components(more).select(F.col("node").alias("c_node"), F.col("root").alias("now"))
+            met = met.join(now, F.col("root") == F.col("c_node"), "left").withColumn("root", F.coalesce("now", "root")).drop("now", "c_node")
+            met = _mixed(written(met, "joined"))
 
     comp = comp.select(F.col("node").alias("c_node"), "root")
     classes = member.join(comp, member["node"] == comp["c_node"], "left").select("id", F.coalesce("root", "node").alias("class_id"))
-    if not (more.isEmpty() and last.isEmpty()):
-        joined = components(more.union(last)).select(F.col("node").alias("c_node"), "root")
+    if not found.isEmpty():
+        joined = components(found).select(F.col("node").alias("c_node"), "root")
         classes = classes.join(joined, F.col("class_id") == F.col("c_node"), "left").select("id", F.coalesce("root", "class_id").alias("class_id"))
     classes = written(classes, "classes")
     blank = written(sig.where("n = 0").select(F.col("id").alias("blank")), "blank")

@@ -285,7 +285,7 @@ def test_sparse_pairs(spark):
         sets.append((i, s | {rng.randrange(10**6) for _ in range(rng.randint(0, 9))}))
     for i, s in sets[:80]:
         sets.append((300 + i, {x for x in s if rng.random() < 0.93} | {-i}))
-    df = written(spark.createDataFrame([(i, i, len(s), i, list(s)) for i, s in sets], "id long, root long, n long, set long, s array<long>"), "torn")
+    df = written(spark.createDataFrame([(i, i, i % 5, len(s), i, list(s)) for i, s in sets], "id long, root long, fame long, n long, set long, s array<long>"), "torn")
     met = minhash._mixed(minhash._prefixes(df, 0.8))
     got = minhash._crossed(met, 0.8).collect()
     pairs = {(r.a, r.b) for r in got}
