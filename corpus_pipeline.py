@@ -14,7 +14,7 @@ from cubespark.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of which no language is likelier than all others together, and those without a letter (nulls too)."""
+    """Drops texts that are hardly more like one language than like any, and those without a letter (nulls too)."""
     return langid.keep_identified(docs)
 
 
