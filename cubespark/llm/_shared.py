@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import getpass
 import math
 import os
@@ -10,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(work):
+    """``work`` for ``mapInArrow``, and ``release`` at its end, as a worker stays for later tasks."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.  ``lower`` does just that for texts of ASCII alone, and is much the faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ship, written
+from ._shared import ship, tidy, written
 
 #: Rows that centroids and the pruning ratio are fitted on, at most; every row is indexed.
 SAMPLE = 20_000
@@ -232,9 +232,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", ve
             r, j = np.nonzero(inside)
             yield pa.record_batch({"list": pa.array(ids[r, j], pa.int32()), "id": b.column("id").take(pa.array(r)), "v": v.take(pa.array(r)), "first": pa.array(j < FIRST)})
 
-    postings = written(x.mapInArrow(assign, "list int, id long, v array<double>"), "postings")
+    postings = written(x.mapInArrow(tidy(assign), "list int, id long, v array<double>"), "postings")
     asked = x.where(queries.isNotNull() & queries) if hasattr(queries, "isNotNull") else x.where(queries)
-    probes = written(asked.mapInArrow(probe, "list int, id long, v array<double>, first boolean"), "probes")
+    probes = written(asked.mapInArrow(tidy(probe), "list int, id long, v array<double>, first boolean"), "probes")
     # a row for each list: how many parts it has, and how many blocks its queries make
     parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts"))
     blocks = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship, written
+from ._shared import release, ship, tidy, written
 
 #: n-grams of 1 to 3 characters go to so many features by a hash.
 FEATURES = 1 << 15
@@ -143,16 +143,16 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str
     def weights(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    data = []
-    for lang, f, c in rows:
-        x = c / max(1, c.sum()) * idf[f] * SCALE
-        data.append((lang, np.append(f, FEATURES), np.append(x, 1.0)))
+    def row(r):  # made anew each time, so that rows are in memory once and as small as they come
+        lang, f, c = rows[r]
+        return lang, np.append(f, FEATURES), np.append(c / max(1, c.sum()) * idf[f] * SCALE, 1.0)
+
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(data))
+    order = rng.permutation(len(rows))
     held, fit = order[::5], np.array([i for j, i in enumerate(order) if j % 5])
     for _ in range(passes):
         for r in rng.permutation(fit) if len(fit) else []:
-            y, i, x = data[r]
+            y, i, x = row(r)
             w = weights(i)
             s = x @ w
             p = np.exp(s - s.max())
@@ -165,8 +165,8 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str
     w = weights(np.arange(FEATURES + 1))
     temperature = 1.0
     if len(held):
-        s = np.stack([data[r][2] @ w[data[r][1]] for r in held])
-        y = np.array([data[r][0] for r in held])
+        s = np.stack([x @ w[i] for _, i, x in map(row, held)])
+        y = np.array([rows[r][0] for r in held])
         lo, hi = math.log(0.05), math.log(20.0)
         for _ in range(60):  # the loss has one least value along the temperature
             a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
@@ -218,8 +218,8 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, fit_do
         f = np.flatnonzero(seen[:-1])
         yield pa.record_batch({"lang": pa.array([None], pa.string()), "features": pa.array([f.astype("<i4").tobytes()], pa.binary()), "counts": pa.array([seen[f].astype("<i4").tobytes()], pa.binary())})
 
-    out = written(rows.mapInArrow(work, "lang string, features binary, counts binary"), "features")
-    sample = [(languages.index(r.lang), np.frombuffer(r.features, "<i4"), np.frombuffer(r.counts, "<i4").astype(float)) for r in out.where("lang is not null").orderBy("lang", "features", "counts").collect()]
+    out = written(rows.mapInArrow(tidy(work), "lang string, features binary, counts binary"), "features")
+    sample = [(languages.index(r.lang), np.frombuffer(r.features, "<i4"), np.frombuffer(r.counts, "<i4")) for r in out.where("lang is not null").orderBy("lang", "features", "counts").collect()]
 
     def spread(batches):
         for b in batches:
@@ -227,10 +227,13 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, fit_do
                 yield pa.record_batch({"f": pa.array(np.frombuffer(f, "<i4")), "n": pa.array(np.frombuffer(c, "<i4").astype(np.int64))})
 
     df = np.zeros(FEATURES)
-    for r in out.where("lang is null").select("features", "counts").mapInArrow(spread, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in out.where("lang is null").select("features", "counts").mapInArrow(tidy(spread), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
         df[r.f] = r.n
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 0.1
-    return fit_ftrl(sample, languages, idf)
+    model = fit_ftrl(sample, languages, idf)
+    del sample
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
@@ -246,7 +249,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, lang_name, score_name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, {lang_name} string, {score_name} double")
+    return docs.mapInArrow(tidy(work), f"{fields}, {lang_name} string, {score_name} double")
 
 
 def held_out(id_col: str) -> Column:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, fitting, only_ids, ship, without_ids, written
+from ._shared import components, fitting, only_ids, ship, tidy, without_ids, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 4 coordinates: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**20 = 0.99997.
@@ -194,7 +194,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weighted: bool = Tru
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return written(rows.mapInArrow(work, "id long, same long, same2 long, n long, bands array<long>"), "signatures")
+    return written(rows.mapInArrow(tidy(work), "id long, same long, same2 long, n long, bands array<long>"), "signatures")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, weighted: bool = True) -> DataFrame:
@@ -218,7 +218,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, we
                 yield pa.record_batch({"id": b.column("id").slice(i, len(texts)), "n": pa.array(np.diff(off).astype(np.int64)), "s": pa.ListArray.from_arrays(pa.array(off), pa.array(s.view(np.int64)))})
 
     texts = only_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
-    sets = written(texts.mapInArrow(work, "id long, n long, s array<long>"), "sets")
+    sets = written(texts.mapInArrow(tidy(work), "id long, n long, s array<long>"), "sets")
     named = sets.select("id").groupBy("id").count().where("count > 1")
     return sets if named.isEmpty() else written(sets.distinct(), "sets")
 

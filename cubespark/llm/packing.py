@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship, slots, written
+from ._shared import ship, slots, tidy, written
 from .encode import encoder, with_end
 
 SEQUENCE = 4096
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = S
                 yield pa.record_batch({"id": names.take(pa.array(doc + i)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "crc": pa.array(crc, pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(work, "id long, piece int, start long, length long, crc long"), "pieces")
+    return written(rows.mapInArrow(tidy(work), "id long, piece int, start long, length long, crc long"), "pieces")
 
 
 class Bins:
@@ -239,5 +239,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SEQUENCE,
             seq, off = table["seq"][i] + k // table["times"][i], table["place"][i] + k % table["times"][i] * length
             yield pa.record_batch({c: b.column(c) for c in ("id", "piece", "start", "length")} | {"ids_crc32": b.column("crc"), "sequence_id": pa.array(seq), "offset": pa.array(off)})
 
-    out = ranked.mapInArrow(work, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInArrow(tidy(work), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

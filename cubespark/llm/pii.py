@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ship
+from ._shared import ship, tidy
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds: numbers after a cue or with a valid IBAN checksum, and URLs with a user in them.
@@ -236,4 +236,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch(cols)
 
     schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(work), schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, ship, written
+from ._shared import shared_dir, ship, tidy, written
 from .encode import encoder, with_end
 from .wavelet import WaveletMatrix, build
 
@@ -105,7 +105,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             yield flush()
 
     schema = "path string, first_id long, part int, no int, docs long, tokens long"
-    return written(rows.mapInArrow(work, schema), "manifest")
+    return written(rows.mapInArrow(tidy(work), schema), "manifest")
 
 
 def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -127,7 +127,7 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch({"id": pa.array(m.doc_ids, mask=m.doc_ids == NO_ID), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
-    out = placed.repartition(tasks, "path").mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
+    out = placed.repartition(tasks, "path").mapInArrow(tidy(work), "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
