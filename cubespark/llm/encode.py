@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Words that a worker remembers; then it starts anew.
 REMEMBERED = 700_000
 #: Bytes of text that are split at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Texts in which a space is not always the start of a word: they are encoded whole.
 _WHOLE = r"[\t\r\f\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]|[ \n] [ \n]|^ |<\|"
 
@@ -88,19 +88,22 @@ class WordEncoder:
         words = enc.dictionary.to_pylist()
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
+        # places among a slice's words and ids; only one text of half a GB needs wider ones
+        kind = np.int32 if (pc.sum(pc.binary_length(texts)).as_py() or 0) < 1 << 29 else np.int64
         if self.lower:
             coded = self._words(words)
         else:
             first, where = np.unique(index[at[:-1]], return_inverse=True)
-            index = index.astype(np.int64)
+            index = index.astype(kind)
             index[at[:-1]] = len(words) + where
             coded = self._words([f" {w}" for w in words]) + self._words([words[i] for i in first])
-        ids, lens = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        starts = np.cumsum(lens) - lens
+        ids, lens = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), kind, len(coded)) // 4
+        del coded
+        starts = np.cumsum(lens, dtype=kind) - lens
         each = lens[index]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=kind)
         total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.repeat(starts[index] - (ends - each), each) + np.arange(total)]
+        out = ids[np.repeat(starts[index] - (ends - each), each) + np.arange(total, dtype=kind)]
         edge = np.concatenate(([0], ends))[at]
         counts = np.diff(edge)
         if odd.any():
