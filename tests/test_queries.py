@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+import __spark_entry__ as entry  # registers all queries
 from cubespark.plans.queries import QUERIES, SQL
 
 
