@@ -7,18 +7,22 @@ cuts.  So the ids of a text are those of its words in turn; tests compare with t
 from __future__ import annotations
 
 import os
+import re
+import string
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+#: Pieces of words that a worker remembers; beyond, those it has not met since the last time are forgotten.
+REMEMBERED = 200_000
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
 #: Texts in which a space is not always the start of a word: they are encoded whole.
 _WHOLE = r"[\t\r\f\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]|[ \n] [ \n]|^ |<\|"
+#: Letters of which words go to the model as they are: of ASCII, Latin-1 and Latin Extended-A, but for the one with a two-part lower case.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 _kept: dict[str, WordEncoder] = {}
 
@@ -42,50 +46,99 @@ class WordEncoder:
         # a normaliser that lower-cases goes with one that drops white space in the files this module knows
         self.lower = self.tok.normalizer is not None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # the letters that stand for bytes in byte-level vocabularies
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelt = dict(zip(own, own, strict=True)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
+        self.direct = self._direct()
+
+    def _spell(self, w: str) -> str:
+        return w if w.isascii() and w[:1] != " " else w.encode().decode("latin-1").translate(self.spelt)
+
+    def _direct(self) -> bool:
+        """Whether a word of ``_LETTERS`` alone reaches the model as one piece and in this spelling, so that the steps before can be left out."""
+        letters = "".join(filter(_LETTERS.fullmatch, map(chr, range(0x180))))
+        w = letters.lower() if self.lower else f" {letters}"
+        if any(_LETTERS.fullmatch(t.content.strip()) for t in self.tok.get_added_tokens_decoder().values()):
+            return False
+        if getattr(self.tok.model, "dropout", None) or self.tok.pre_tokenizer is None or self.lower and self.tok.normalizer.normalize_str(letters) != w:
+            return False
+        return all([p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(x)] == [self._spell(x)] for x in {w, w.strip()})
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, w: str) -> list[str]:
         """Pieces of a word that are encoded apart and of which most are known."""
-        if not self.lower and w.count("\n") == 1 and w[0] != "\n" and w[-1] != "\n" and w != " \n":
-            a, b = w.split("\n")
-            if a != " ":
-                return [*self._parts(a), "\n", *self._parts(b)]
         if self.lower:
             if "<|" in w:  # special tokens are spelt in lower case only
                 return [w]
-            if w.isascii():
+            if "\n" in w:
+                return [p for x in w.split("\n") if x for p in self._parts(x)]
+            if w.isascii() or _LETTERS.fullmatch(w):
                 w = w.lower()
-            elif not w[-2:-1].lower().isalpha():  # a letter whose lower case is a letter and a mark, which joins what follows
-                return [w]
-        if len(w) > 2 and w[-1] in ".,;:!?" and w[-2].isalpha():
-            return [w[:-1], w[-1]]
+        elif w.count("\n") == 1 and w[0] != "\n" and w[-1] != "\n" and w != " \n":
+            a, b = w.split("\n")
+            if a != " ":
+                return [*self._parts(a), "\n", *self._parts(b)]
+        if w[-1:].isalpha():
+            return [w]
+        word = w.rstrip(string.punctuation)
+        # a letter whose lower case is a letter and a mark joins what follows
+        if len(word) < len(w) and word[-1:].lower().isalpha():
+            return [word.lower() if self.lower and _LETTERS.fullmatch(word) else word, w[len(word) :]]
         return [w]
 
+    def _encode(self, pieces: list[str]) -> None:
+        """Remembers ``pieces``.  Those of letters alone go straight to the model: what the library does before takes longer."""
+        known, rest, model = self.known, pieces, self.tok.model.tokenize
+        if self.direct:
+            rest, skip = [], 0 if self.lower else 1
+            for p in pieces:
+                w = p[1:] if skip and p[:1] == " " else p
+                if w.isalpha() and (w.isascii() or _LETTERS.fullmatch(w)):
+                    known[p] = array("I", [t.id for t in model(self._spell(p))]).tobytes()
+                else:
+                    rest.append(p)
+        for i in range(0, len(rest), 20_000):
+            known.update(zip(rest[i : i + 20_000], self._plain(rest[i : i + 20_000]), strict=True))
+
     def _words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        known, old, lower = self.known, self.old, self.lower
         new = [w for w in words if w not in known]
-        if new:
-            parts = [self._parts(w) for w in new]
-            base = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
-            for i in range(0, len(base), 20_000):
-                known.update(zip(base[i : i + 20_000], self._plain(base[i : i + 20_000]), strict=True))
-            for w, ps in zip(new, parts, strict=True):
-                if len(ps) > 1 or ps[0] != w:
-                    known[w] = b"".join(known[p] for p in ps)
-        return [known[w] for w in words]
+        if not new:
+            return [known[w] for w in words]
+        split: dict[str, list[str]] = {}
+        base: list[str] = []
+        for w in new:
+            if w in old:
+                known[w] = old[w]
+            elif (w.isalpha() and w.islower() and w.isascii()) if lower else w[1:].isalpha():
+                base.append(w)
+            else:
+                ps = self._parts(w)
+                base += ps
+                if len(ps) != 1 or ps[0] != w:
+                    split[w] = ps
+        fresh = []
+        for p in dict.fromkeys(base):
+            if p in old:
+                known[p] = old[p]
+            elif p not in known:
+                fresh.append(p)
+        self._encode(fresh)
+        return [b"".join([known[p] for p in split[w]]) if w in split else known[w] for w in words]
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
         n = len(texts)
         odd = np.zeros(n, bool) if self.lower else pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts, " ")
         enc = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[n].as_py() - lists.offsets[0].as_py()).dictionary_encode()
         index = enc.indices.to_numpy()
-        words = enc.dictionary.to_pylist()
+        words = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         # places among a slice's words and ids; only one text of half a GB needs wider ones

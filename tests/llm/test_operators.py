@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cubespark.llm import ann, exact_dedup, langid, minhash, mixing, packing, pii, sharding, tokens, urlfilter, wavelet
+from cubespark.llm import ann, encode, exact_dedup, langid, minhash, mixing, packing, pii, sharding, tokens, urlfilter, wavelet
 from cubespark.llm._shared import components, slots, written
 from cubespark.llm.encode import encoder, with_end
 from cubespark.llm.queries import oracle_sql, tokenizer
@@ -122,6 +122,25 @@ def test_encoder(hard, name, end):
     assert got == [[*x.ids, end] for x in e.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_remembers_little(monkeypatch, name):
+    """Words of letters skip the library's other steps, and what it remembers is bounded by the words of two slices."""
+    monkeypatch.setattr(encode, "REMEMBERED", 500)
+    monkeypatch.setattr(encode, "SLICE", 4000)
+    rng, e = random.Random(5), encode.WordEncoder(tokenizer(name))
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZéèñßüÖÍœŒſıĸŸŁ"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "", ",", ".%%%", "***", ".\n" + rng.choice(words)]) for _ in range(30)) for _ in range(400)]
+    whole, seen, most, got = e._plain, [], 0, []
+    monkeypatch.setattr(e, "_plain", lambda t: (seen.extend(t), whole(t))[1])
+    for _, ids, counts in e.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        most = max(most, len(e.known) + len(e.old))
+    assert got == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert not [w for w in seen if w.strip().isalpha()]
+    assert most < 2500
+
+
 def test_wavelet():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 50257, 5000)
