@@ -264,8 +264,12 @@ def _prefixes(torn: DataFrame, least: float) -> DataFrame:
 
 
 def _mixed(shown: DataFrame) -> DataFrame:
-    """The rows of keys that two roots or more share, written."""
-    mixed = shown.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+    """The rows of keys under which two of different roots face each other, written.
+
+    Under most keys that roots share, all rows are of one class and wait for partners of another that nobody there has.
+    """
+    mixed = shown.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("own").alias("least"), F.max("own").alias("most"), F.max(F.col("own") == F.col("c")).alias("alike"))
+    mixed = mixed.where("low <> high and (least <> most or alike)").select(F.col("key").alias("k"))
     return written(shown.join(fitting(written(mixed, "mixed")), F.col("key") == F.col("k")).drop("k"), "met")
 
 

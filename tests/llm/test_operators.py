@@ -315,6 +315,21 @@ def test_sparse_pairs(spark):
     assert minhash._led(met, 0.8).count() <= met.count()
 
 
+def test_keys_of_facing_rows(spark):
+    """Rows are met only under keys where two roots face each other, and all such rows are."""
+    rng = random.Random(6)
+    sets = [(i, set(rng.sample(range(400), rng.choice([40, 41, 45, 47])))) for i in range(60)]
+    sets += [(100 + i, {*sorted(s)[:-2], -1 - i}) for i, s in sets[:6]]
+    df = written(spark.createDataFrame([(i, i, i % 5, len(s), i, list(s)) for i, s in sets], "id long, root long, fame long, n long, set long, s array<long>"), "torn")
+    shown = minhash._prefixes(df, 0.8)
+    by = defaultdict(list)
+    for r in shown.collect():
+        by[r.key].append(r)
+    want = [r for rows in by.values() if any(x.own == y.c and x.c == y.own and x.root != y.root for x in rows for y in rows) for r in rows]
+    assert Counter(minhash._mixed(shown).collect()) == Counter(want)
+    assert 0 < len(want) < sum(len(x) for x in by.values() if len({r.root for r in x}) > 1) / 2
+
+
 def test_dart_minhash_estimates():
     rng, err = np.random.default_rng(0), []
     for _ in range(100):
