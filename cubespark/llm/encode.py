@@ -50,10 +50,13 @@ class WordEncoder:
         # the letters that stand for bytes in byte-level vocabularies
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.spelt = dict(zip(own, own, strict=True)) | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
+        self.space = chr(self.spelt[32])
         self.direct = self._direct()
 
     def _spell(self, w: str) -> str:
-        return w if w.isascii() and w[:1] != " " else w.encode().decode("latin-1").translate(self.spelt)
+        if w.isascii():
+            return self.space + w[1:] if w[:1] == " " else w
+        return w.encode().decode("latin-1").translate(self.spelt)
 
     def _direct(self) -> bool:
         """Whether a word of ``_LETTERS`` alone reaches the model as one piece and in this spelling, so that the steps before can be left out."""
@@ -63,7 +66,7 @@ class WordEncoder:
             return False
         if getattr(self.tok.model, "dropout", None) or self.tok.pre_tokenizer is None or self.lower and self.tok.normalizer.normalize_str(letters) != w:
             return False
-        return all([p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(x)] == [self._spell(x)] for x in {w, w.strip()})
+        return all([p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(x)] == [self._spell(x)] for x in {w, w.strip(), w[:27], w[:27].strip()})
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,14 +169,14 @@ class WordEncoder:
             out, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, n)
         return out, counts
 
-    def encode(self, texts: pa.Array):
-        """Yields (first row, ids, counts) for slices of ``texts``; null counts as empty."""
+    def encode(self, texts: pa.Array, size: int | None = None):
+        """Yields (first row, ids, counts) for slices of ``texts`` of ``size`` bytes (``SLICE``); null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy())
         i, n = 0, len(texts)
         while i < n:
             seen = sizes[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(sizes, seen + SLICE, side="right")))
+            j = max(i + 1, int(np.searchsorted(sizes, seen + (size or SLICE), side="right")))
             yield (i, *self._slice(texts.slice(i, j - i)))
             i = j
 

@@ -18,6 +18,10 @@ from .wavelet import WaveletMatrix, build
 
 #: Tokens after which a task begins the next shard; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 21
+#: Bytes of text that are split at a time: a word that comes often in them is looked up once.
+SLICE = 16 << 20
+#: Shards that a task reads back, as a task takes about as long to begin as to read one.
+READ = 4
 #: Stands for a null id in the files; an id may not be the least of all longs.
 NO_ID = -(1 << 63)
 #: UTF-8 bytes of text of a write task, at least; of larger inputs a task has more, so that tasks grow as their root.
@@ -89,7 +93,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 continue
             part = b.column("part")[0].as_py()
             names = b.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, ids, counts in enc.encode(b.column("text")):
+            for i, ids, counts in enc.encode(b.column("text"), SLICE):
                 ids, edge = with_end(ids, counts, end_id)
                 a = 0
                 while a < len(counts):
@@ -116,7 +120,7 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     w = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
     placed = written(placed.select("path", "base"), "shards")
-    tasks = max(1, min(placed.count(), 100_000))
+    tasks = max(1, min(math.ceil(placed.count() / READ), 100_000))
 
     def work(batches):
         for b in batches:

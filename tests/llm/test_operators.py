@@ -175,6 +175,19 @@ def test_token_shards(spark, hard, empty, tmp_path, size):
     assert sorted((r.doc_id is None, r.doc_id, r.start) for r in tokens.token_table(few, path).collect()) == [(False, -1, 3), (True, None, 0), (True, None, 2)]
 
 
+def test_token_shards_are_read_together(spark, hard, tmp_path):
+    """Texts are split in slices of the writer's own size, and a task reads some shards, not one."""
+    path, sizes = tokenizer("byte_bpe_50k.json"), []
+    manifest = tokens.write_token_shards(hard, f"file:{tmp_path}", path, shard_tokens=64)
+    out = tokens.read_token_shards(manifest)
+    assert manifest.count() > 20 and out.rdd.getNumPartitions() <= -(-manifest.count() // tokens.READ) and out.count() == hard.count()
+    words = pa.array([" ".join(f"{x}y" for x in range(9000))] * 100)
+    assert tokens.SLICE > encode.SLICE
+    for size in (None, tokens.SLICE):
+        sizes.append(sum(1 for _ in encoder(path).encode(words, size)))
+    assert sizes == [2, 1]
+
+
 def test_shards(hard, empty):
     got = sharding.shard(hard, 4).collect()
     rows = hard.select("doc_id", "text").collect()
