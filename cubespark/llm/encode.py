@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of words that a worker remembers; beyond, those it has not met since the last time are forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
 #: Texts in which a space is not always the start of a word: they are encoded whole.
@@ -24,6 +24,8 @@ _WHOLE = r"[\t\r\f\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f
 #: Letters of which words go to the model as they are: of ASCII, Latin-1 and Latin Extended-A, but for the one with a two-part lower case.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
+_MARKS = frozenset(string.punctuation)
+
 _kept: dict[str, WordEncoder] = {}
 
 
@@ -92,58 +94,69 @@ class WordEncoder:
             return [word.lower() if self.lower and _LETTERS.fullmatch(word) else word, w[len(word) :]]
         return [w]
 
-    def _encode(self, pieces: list[str]) -> None:
-        """Remembers ``pieces``.  Those of letters alone go straight to the model: what the library does before takes longer."""
-        known, rest, model = self.known, pieces, self.tok.model.tokenize
-        if self.direct:
-            rest, skip = [], 0 if self.lower else 1
-            for p in pieces:
-                w = p[1:] if skip and p[:1] == " " else p
-                if w.isalpha() and (w.isascii() or _LETTERS.fullmatch(w)):
-                    known[p] = array("I", [t.id for t in model(self._spell(p))]).tobytes()
-                else:
-                    rest.append(p)
-        for i in range(0, len(rest), 20_000):
-            known.update(zip(rest[i : i + 20_000], self._plain(rest[i : i + 20_000]), strict=True))
-
     def _words(self, words: list[str]) -> list[bytes]:
-        known, old, lower = self.known, self.old, self.lower
-        new = [w for w in words if w not in known]
-        if not new:
-            return [known[w] for w in words]
-        split: dict[str, list[str]] = {}
-        base: list[str] = []
-        for w in new:
+        """Ids of each word, remembered by its pieces.  Those of letters alone go straight to the model, as what the
+        library does before takes longer; words with others wait until the library has had all of these together.
+        """
+        known, old, lower, model = self.known, self.old, self.lower, self.tok.model.tokenize
+        coded = [known.get(w) for w in words]
+        rest: dict[str, None] = {}
+        late: list[tuple[int, list[str]]] = []
+        for i, w in enumerate(words):
+            if coded[i] is not None:
+                continue
             if w in old:
-                known[w] = old[w]
-            elif (w.isalpha() and w.islower() and w.isascii()) if lower else w[1:].isalpha():
-                base.append(w)
+                known[w] = coded[i] = old[w]
+                continue
+            # what _parts gives for a word of ASCII letters with or without one mark behind it, which most of these are
+            if lower and w.isascii() and w[:-1].isalpha() and (w[-1].isalpha() or w[-1] in _MARKS):
+                ps = [w.lower()] if w[-1].isalpha() else [w[:-1].lower(), w[-1]]
+            elif not lower and w[1:].isalpha():
+                ps = [w]
             else:
                 ps = self._parts(w)
-                base += ps
-                if len(ps) != 1 or ps[0] != w:
-                    split[w] = ps
-        fresh = []
-        for p in dict.fromkeys(base):
-            if p in old:
-                known[p] = old[p]
-            elif p not in known:
-                fresh.append(p)
-        self._encode(fresh)
-        return [b"".join([known[p] for p in split[w]]) if w in split else known[w] for w in words]
-
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and how many each has."""
+            raw = []
+            for p in ps:
+                v = known.get(p)
+                if v is None:
+                    v = old.get(p)
+                    if v is None and self.direct:
+                        x = p if lower or p[:1] != " " else p[1:]
+                        if x.isalpha() and (x.isascii() or _LETTERS.fullmatch(x)):
+                            v = array("I", [t.id for t in model(self._spell(p))]).tobytes()
+                    if v is None:
+                        rest[p] = None
+                    else:
+                        known[p] = v
+                raw.append(v)
+            if None in raw:
+                late.append((i, ps))
+            else:
+                coded[i] = raw[0] if len(raw) == 1 else b"".join(raw)
+        pieces = list(rest)
+        for i in range(0, len(pieces), 20_000):
+            known.update(zip(pieces[i : i + 20_000], self._plain(pieces[i : i + 20_000]), strict=True))
+        for i, ps in late:
+            coded[i] = b"".join([known[p] for p in ps])
+        return coded
+
+    def _slice(self, texts: pa.Array, block: int | None):
+        """Yields (first row, ids end to end, how many each text has) for texts of ``block`` ids in all, or one text.
+
+        Each distinct word of the slice is looked up once; ids, of which there are more, are laid out block by block.
+        """
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
         n = len(texts)
         odd = np.zeros(n, bool) if self.lower else pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts, " ")
-        enc = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[n].as_py() - lists.offsets[0].as_py()).dictionary_encode()
-        index = enc.indices.to_numpy()
-        words = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = lists.offsets.to_numpy().astype(np.int64)
+        enc = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at = at - at[0]
+        del lists
+        index = enc.indices.to_numpy()
+        words = enc.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del enc
         # places among a slice's words and ids; only one text of half a GB needs wider ones
         kind = np.int32 if (pc.sum(pc.binary_length(texts)).as_py() or 0) < 1 << 29 else np.int64
         if self.lower:
@@ -153,31 +166,43 @@ class WordEncoder:
             index = index.astype(kind)
             index[at[:-1]] = len(words) + where
             coded = self._words([f" {w}" for w in words]) + self._words([words[i] for i in first])
+        del words
         ids, lens = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), kind, len(coded)) // 4
         del coded
         starts = np.cumsum(lens, dtype=kind) - lens
-        each = lens[index]
-        ends = np.cumsum(each, dtype=kind)
-        total = int(ends[-1]) if len(ends) else 0
-        out = ids[np.repeat(starts[index] - (ends - each), each) + np.arange(total, dtype=kind)]
-        edge = np.concatenate(([0], ends))[at]
-        counts = np.diff(edge)
-        if odd.any():
-            pieces = np.split(out, edge[1:-1])
-            for i, raw in zip(np.flatnonzero(odd), self._plain(texts.filter(pa.array(odd)).to_pylist()), strict=True):
-                pieces[i] = np.frombuffer(raw, "<u4")
-            out, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, n)
-        return out, counts
-
-    def encode(self, texts: pa.Array, size: int | None = None):
-        """Yields (first row, ids, counts) for slices of ``texts`` of ``size`` bytes (``SLICE``); null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        # ids before each text; sums of the words' own are made again for each block
+        edge = np.concatenate(([0], np.cumsum(lens[index], dtype=np.int64)))[at]
+        i = 0
+        while i < n:
+            j = n if block is None else max(i + 1, int(np.searchsorted(edge, edge[i] + block, side="right")) - 1)
+            own = index[at[i] : at[j]]
+            each = lens[own]
+            place = np.repeat(starts[own] - (np.cumsum(each, dtype=kind) - each), each)
+            place += np.arange(len(place), dtype=kind)
+            out, counts = ids[place], np.diff(edge[i : j + 1])
+            del own, each, place
+            if odd[i:j].any():
+                pieces = np.split(out, np.cumsum(counts)[:-1])
+                for k, raw in zip(np.flatnonzero(odd[i:j]), self._plain(texts.slice(i, j - i).filter(pa.array(odd[i:j])).to_pylist()), strict=True):
+                    pieces[k] = np.frombuffer(raw, "<u4")
+                out, counts = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, j - i)
+            yield i, out, counts
+            i = j
+
+    def encode(self, texts: pa.Array, size: int | None = None, block: int | None = None):
+        """Yields (first row, ids, counts) for slices of ``texts`` of ``size`` bytes (``SLICE``); null counts as empty.
+
+        With ``block``, a slice comes in parts of so many ids, or of one text.
+        """
+        if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+            texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
         i, n = 0, len(texts)
         while i < n:
             seen = sizes[i - 1] if i else 0
             j = max(i + 1, int(np.searchsorted(sizes, seen + (size or SLICE), side="right")))
-            yield (i, *self._slice(texts.slice(i, j - i)))
+            for k, ids, counts in self._slice(pc.fill_null(texts.slice(i, j - i), ""), block):
+                yield i + k, ids, counts
             i = j
 
 
@@ -185,6 +210,6 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray,
     """The same with ``end`` after each text."""
     n, edge = len(counts), np.cumsum(counts)
     out = np.insert(ids, edge, end) if n else ids
-    return out.astype("<u4"), np.concatenate(([0], edge + np.arange(1, n + 1)))
+    return out.astype("<u4", copy=False), np.concatenate(([0], edge + np.arange(1, n + 1)))
 
 

@@ -14,6 +14,10 @@ from ._shared import ship, slots, tidy, written
 from .encode import encoder, with_end
 
 SEQUENCE = 4096
+#: Bytes of text that are split at a time, and ids that are laid out at a time: less memory than the encoder's own.
+SLICE, BLOCK = 1 << 20, 1 << 18
+#: Bytes of text that go to a Python worker at a time.
+BATCH = 4 << 20
 #: Rounds of the local search over the underfull bins; a round without a gain ends it.
 ROUNDS = 50
 
@@ -26,7 +30,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = S
         enc = encoder(tokenizer)
         for b in batches:
             names = b.column("id")
-            for i, ids, counts in enc.encode(b.column("text")):
+            for i, ids, counts in enc.encode(b.column("text"), SLICE, BLOCK):
                 ids, edge = with_end(ids, counts, end_id)
                 lens = np.diff(edge)
                 n = -(-lens // size)
@@ -39,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = S
                 yield pa.record_batch({"id": names.take(pa.array(doc + i)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "crc": pa.array(crc, pa.int64())})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(tidy(work), "id long, piece int, start long, length long, crc long"), "pieces")
+    return written(rows.mapInArrow(tidy(work), "id long, piece int, start long, length long, crc long"), "pieces", BATCH)
 
 
 class Bins:

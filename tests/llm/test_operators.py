@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubespark.llm import ann, encode, exact_dedup, langid, minhash, mixing, packing, pii, sharding, tokens, urlfilter, wavelet
-from cubespark.llm._shared import components, slots, written
+from cubespark.llm._shared import BATCH_BYTES, components, slots, written
 from cubespark.llm.encode import encoder, with_end
 from cubespark.llm.queries import oracle_sql, tokenizer
 
@@ -516,6 +517,49 @@ def check_packing(pieces, size):
     return len(bins)
 
 
+def test_pack_encodes_in_little_memory(hard, monkeypatch):
+    """A worker's objects and arrays stay small while it encodes a batch of many words, and the ids are the library's."""
+    works, path, rng = [], tokenizer("word_bpe_49k.json"), random.Random(3)
+    monkeypatch.setattr(type(hard), "mapInArrow", lambda df, f, schema: works.append(f) or df)
+    monkeypatch.setattr(packing, "written", lambda df, *rest: df)
+    packing.token_pieces(hard, path)
+    monkeypatch.setitem(encode._kept, path, encode.WordEncoder(path))
+    words = ["".join(rng.choices("aeioubcdfglmnrst", k=rng.randint(3, 12))) + rng.choice(["", "", "", ",", "."]) for _ in range(250_000)]
+    texts = [" ".join(rng.choices(words, k=250)) for _ in range(4000)] + [None, "", "a  b\tC."]
+    batch = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    tracemalloc.start()
+    got = []
+    for b in works[0](iter([batch])):
+        got += zip(*(b.column(c).to_pylist() for c in ("id", "piece", "length", "crc")), strict=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = [np.array([*e.ids, 1], "<u4") for e in encoder(path).tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert got == [(i, 0, len(x), zlib.crc32(x)) for i, x in enumerate(ids)]
+    assert peak < 60e6
+
+
+def test_pack_sends_small_batches(spark, monkeypatch):
+    """Texts reach a worker a few MB at a time, whatever their number, and the session's settings are as before."""
+    seen, write = [], packing.written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"rows": pa.array([b.num_rows], pa.int64()), "bytes": pa.array([b.nbytes], pa.int64())})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 600) as text")
+    monkeypatch.setattr(packing, "written", lambda df, name, *rest: seen.append(rest) or write(df, name, *rest))
+    assert packing.token_pieces(docs, tokenizer("word_bpe_49k.json")).select("id").distinct().count() == 4000
+    got = write(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes", *seen[0]).collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 5e6
+    assert spark.conf.get(BATCH_BYTES, None) is None
+    spark.conf.set(BATCH_BYTES, "1m")
+    try:
+        write(docs.limit(1), "one", 4 << 20)
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def test_pack(hard, empty):
     path = tokenizer("word_bpe_49k.json")
     for size in (4096, 50):
