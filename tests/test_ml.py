@@ -1,3 +1,4 @@
+import copy
 import json
 
 import numpy as np
@@ -120,3 +121,65 @@ def test_errors(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps({"assets": {}, "properties": {}}))
     with pytest.raises(ValueError):
         ml.load_stac_ml(str(tmp_path / "i.json"))
+
+
+def test_memory_of_a_net():
+    """The tape of a batch goes as gradients come, and neither weights of attention nor predictions are made for all rows at once."""
+    import gc
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x = rng.random((384, 64))
+    c = nets.NetClassifier(nets.LightTAE(), epochs=1, batch_size=128, seed=0)
+    gc.collect()
+    gc.disable()  # nothing may wait for it
+    tracemalloc.start()
+    try:
+        c.fit(x, x[:, 0] > 0.5)
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+        tracemalloc.reset_peak()
+        c.predict(x)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_attention(monkeypatch):
+    """The same some rows at a time as by plain tensors, values and gradients."""
+    rng = np.random.default_rng(0)
+    q, v, w, mask = rng.random((5, 2, 6, 4)), rng.random((5, 2, 6, 4)), rng.random((5, 2, 6, 4)), (rng.random((5, 2, 6, 6)) > 0.3) / 0.7
+    monkeypatch.setattr(nets, "CELLS", 4 * 2 * 72)
+    at = iter([0, 2, 4])
+
+    def drop(a):
+        i = next(at)
+        return a * mask[i : i + 2]
+
+    def loss(q, v):
+        z = q @ np.swapaxes(q, 2, 3) / 2
+        p = np.exp(z) / np.exp(z).sum(axis=-1, keepdims=True)
+        return (p * mask) @ v
+
+    tq, tv = nets.Tensor(q), nets.Tensor(v)
+    out = tq.attend(tv, drop)
+    np.testing.assert_allclose(out.data, loss(q, v), rtol=1e-12)
+    out._back(w)
+    for t, i in ((tq, 0), (tv, 1)):
+        for c in ((0, 0, 1, 2), (3, 1, 5, 0), (4, 0, 2, 3)):
+            d = np.zeros_like(q)
+            d[c] = 1e-6
+            up, down = loss(*(a + d * (j == i) for j, a in enumerate((q, v)))), loss(*(a - d * (j == i) for j, a in enumerate((q, v))))
+            assert t.grad[c] == pytest.approx((w * (up - down)).sum() / 2e-6, abs=1e-6)
+
+
+def test_training_rows_stay_in_a_file(spark, monkeypatch):
+    """A net learns the same from a file of rows as from an array; the table is never one frame of the driver."""
+    table = training(spark, ["a", "b", "c", "d"])
+    pdf = table.df.toPandas()
+    monkeypatch.setattr(type(table.df), "toPandas", None)
+    make = lambda: ml.mlm_class_lighttae(epochs=2, batch_size=16, seed=1)
+    got = ml.ml_fit(make(), table, "label").fitted
+    want = copy.deepcopy(make().estimator).fit(pdf[["a", "b", "c", "d"]].to_numpy(), pdf["label"].to_numpy())
+    assert got.classes == want.classes and got.losses == want.losses
+    assert all((got.net.p[k] == want.net.p[k]).all() for k in want.net.p)
