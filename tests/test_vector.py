@@ -55,6 +55,20 @@ def test_buffer(spark, cube):
         features(spark, [("p", point(0, 0))], "name string", None).vector_buffer(distance=1)
 
 
+def test_circles_are_made_by_more_tasks_than_read_the_points(spark):
+    g = F.when(F.col("id") != 7, G.point(F.col("id"), -F.col("id")))
+    empty = F.struct(F.lit("Point").alias("type"), F.array().cast(G.TYPE.split("parts:")[1][:-1]).alias("parts"))
+    df = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") == 9, empty).otherwise(g).alias("geometry"), (F.col("id") * 2).alias("twice"))
+    c = DataCube(df, CubeSchema((Dim("geometry", "geometry"),), crs="EPSG:3857", kind="vector", geometry=("geometry",)))
+    out = c.vector_buffer(distance=10).df
+    assert out.columns == df.columns and out.where("geometry.type = 'Polygon'").select(F.spark_partition_id()).distinct().count() == 4
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == 400 and all(r.twice == 2 * i for i, r in rows.items())
+    assert rows[7].geometry is None and rows[9].geometry.type == "Point" and rows[9].geometry.parts == []
+    ring = rows[123].geometry.parts[0][0]
+    assert len(ring) == 65 and all(math.hypot(p.x - 123, p.y + 123) == pytest.approx(10) for p in ring)
+
+
 def test_reproject(cube):
     there = cube.vector_reproject(projection=3857)
     assert there.schema.crs == "EPSG:3857"
